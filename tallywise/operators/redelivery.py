@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.plans.scale import hot_keys, materialise
+from tallywise.plans.scale import join_counted, materialise
 
 #: Bits of the permuted identifier that form the quotient.
 QUOTIENT_BITS = 12
@@ -112,13 +112,9 @@ def dropped(df: DataFrame, d: Delivery = Delivery(), table: DataFrame | None = N
     """
     entries = with_entry(df, d)
     many = materialise((table if table is not None else insert(entries)).where("n >= 2").select(*ENTRY, F.col("best")[f"r{len(d.rank)}"].alias("_kept"), "n"))
-    hot = hot_keys(many, df.count())
     mine = entries.select(*ENTRY, F.col("best")[f"r{len(d.rank)}"].alias("_row"))
-    lost = ~F.col("_row").eqNullSafe(F.col("_kept"))
-    cold = many.join(F.broadcast(hot.select(*ENTRY)), ENTRY, "left_anti")
-    out = mine.join(F.broadcast(hot), ENTRY).where(lost).select("_row")
-    rest = mine.join(F.broadcast(hot.select(*ENTRY)), ENTRY, "left_anti").join(cold, ENTRY).where(lost).select("_row")
-    return out.unionByName(rest).select(F.col("_row").alias(d.row)).distinct()
+    out = join_counted(mine, many, ENTRY, df.count()).where(~F.col("_row").eqNullSafe(F.col("_kept")))
+    return out.select(F.col("_row").alias(d.row)).distinct()
 
 
 def keep_one(df: DataFrame, d: Delivery = Delivery()) -> DataFrame:

@@ -60,6 +60,19 @@ def hot_keys(counts: DataFrame, rows: int, n: str = "n") -> DataFrame:
     return counts.where(F.col(n) > max(HOT_ROWS, rows // HOT_KEYS))
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: int, n: str = "n") -> DataFrame:
+    """Inner join with a table that has one row per key and the number ``n`` of left rows of that key.
+
+    Keys that are hot by that number are few and are broadcast; the rest is joined
+    by shuffle. Keys must not be null. ``right`` is read more than once.
+    """
+    on = list(on)
+    hot = hot_keys(right, rows, n)
+    names = F.broadcast(hot.select(*on))
+    warm = left.join(F.broadcast(hot), on)
+    return warm.unionByName(left.join(names, on, "left_anti").join(right.join(names, on, "left_anti"), on))
+
+
 def dense_partitions(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` range-partitioned on keys and order, with its partition number ``_pid``, frozen.
 
