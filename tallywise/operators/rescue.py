@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.plans.scale import ordered_lag
+from tallywise.plans.ordered import Ordered
 
 
 @dataclass(frozen=True)
@@ -226,7 +226,7 @@ def drift_report(
     d = files.select(file, stream, opened).where(F.col(stream).isNotNull() & F.col(opened).isNotNull())
     wide = shapes.groupBy(file).pivot("field_name", list(trace)).agg(F.first(F.struct("place", "kind")))
     d = d.join(wide, file, "left")
-    d = ordered_lag(d, [stream], [opened], trace)
+    d = Ordered(d, [stream], [opened]).lag(trace).df
     one = [F.struct(F.lit(n).alias("field_name"), F.col(f"prev_{n}").alias("a"), F.col(n).alias("b")) for n in trace]
     d = d.where("_has_prev").select(file, F.explode(F.array(*one)).alias("x")).select(file, "x.*")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
