@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywise.functions.instants import canonical, days, epoch_micros, month_length, months, tidy, zones
-from tallywise.plans.scale import join_checked, materialise
+from tallywise.plans.scale import join_checked, materialise, small_methods
 
 #: A posterior from which a reading is chosen.
 SURE = 0.95
@@ -183,7 +183,8 @@ def normalise(
     long = df.select(F.col(row).alias("row"), F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
     long = long.select("row", "source", "x.*").where("text is not null")
     reg = sources.select(F.col(source_key).alias("source"), F.col(zone).alias("zone"), F.col(order).alias("order"))
-    d = materialise(readings(long, reg))
+    with small_methods(df.sparkSession):
+        d = materialise(readings(long, reg))
     counts = d.groupBy("source", "signature").agg(F.count(F.lit(1)).alias("n"))
     picked = counts.groupBy("source").applyInPandas(lambda c: mixture(c), "source string, signature string, format string, posterior double")
     # Null sources are one source of their own.

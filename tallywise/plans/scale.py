@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs in this context don't fuse expressions into methods that the JVM won't compile.
+
+    The JVM only interprets methods of more than 8,000 bytes; wide expressions run
+    several times faster as many small methods. The setting is put back.
+    """
+    old = spark.conf.get(_METHOD)
+    spark.conf.set(_METHOD, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(_METHOD, old)
+
+
 def small_or_none(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``most`` rows; counts no further than that."""
     return df.limit(most + 1).count() <= most
