@@ -52,10 +52,10 @@ def match_models(names: DataFrame, catalog: DataFrame, name: str = "model", key:
 
 def price(records: DataFrame, catalog: DataFrame, model: str = "model") -> DataFrame:
     """``records`` with four costs and their total; 0 where no price matches; null counters cost nothing."""
-    m = materialise(match_models(records, catalog, model)).drop("tier", "matched")
-    d = join_checked(records, m, [model])
-    cost = lambda t, p: F.coalesce(F.col(t), F.lit(0)) * F.coalesce(F.col(p), F.lit(0.0))
-    d = d.withColumns({c: cost(t, p) for t, p, c in PARTS}).drop(*PRICES)
+    m = materialise(match_models(records, catalog, model).select(model, F.struct(*PRICES).alias("_prices")))
+    d = join_checked(records.drop("_prices"), m, [model])
+    cost = lambda t, p: F.coalesce(F.col(t), F.lit(0)) * F.coalesce(F.col("_prices")[p], F.lit(0.0))
+    d = d.withColumns({c: cost(t, p) for t, p, c in PARTS}).drop("_prices")
     return d.withColumn("total_cost", sum((F.col(c) for _, _, c in PARTS[1:]), F.col("input_cost")))
 
 

@@ -44,14 +44,23 @@ def dedup_counts(df: DataFrame, key: Sequence[str], value: str, order: Sequence[
     return df.agg(F.count(F.lit(1)).alias("before")).crossJoin(kept.agg(F.count(F.lit(1)).alias("after")))  # one row each
 
 
-def parse_time(c: Column) -> Column:
-    """An ISO string with date and time (zone or UTC), or a number of s or ms (over 1e12), as timestamp; null otherwise."""
+def parse_iso(c: Column) -> Column:
+    """An ISO string with date and time, with a zone or in UTC, as timestamp; null otherwise."""
     s = F.upper(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"), F.try_to_timestamp(s))
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"), F.try_to_timestamp(s))
+
+
+def parse_number(c: Column) -> Column:
+    """A number of seconds, or of milliseconds if over 1e12, as timestamp; null otherwise."""
+    s = F.regexp_replace(c, r"^\s+|\s+$", "")
     x = F.when(s.rlike(r"^[+-]?\d{1,18}(\.\d+)?$"), s.cast("double"))
     seconds = F.when(x > 1e12, x / 1000).otherwise(x)
-    num = F.when(F.abs(seconds) < 2.5e11, F.timestamp_micros(F.round(seconds * 1e6).cast("long")))
-    return F.coalesce(iso, num)
+    return F.when(F.abs(seconds) < 2.5e11, F.timestamp_micros(F.round(seconds * 1e6).cast("long")))
+
+
+def parse_time(c: Column) -> Column:
+    """:func:`parse_iso`, else :func:`parse_number`."""
+    return F.coalesce(parse_iso(c), parse_number(c))
 
 
 def first_time(cols: Sequence[str]) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.functions.json import kind
 from tallywise.plans.ordered import Ordered
 
 
@@ -80,21 +81,6 @@ def _containers(targets: tuple[Target, ...]) -> list[str]:
     return sorted(out, key=lambda p: (p.count(".") + bool(p), p))
 
 
-def _kind(v: Column) -> Column:
-    """integer, decimal, string, object, array or boolean; null for JSON null."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (s == "VOID"), None)
-        .when(s == "BIGINT", "integer")
-        .when(s.startswith("DECIMAL") | (s == "DOUBLE") | (s == "FLOAT"), "decimal")
-        .when(s == "STRING", "string")
-        .when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s == "BOOLEAN", "boolean")
-        .otherwise("other")
-    )
-
-
 def _unknown(fields: Column, path: str, known: list[str], boxes: list[str]) -> Column:
     """The fields of an object that are neither targets nor objects read further, by full path."""
 
@@ -117,14 +103,15 @@ def ingest(lines: DataFrame, body: str = "body", targets: tuple[Target, ...] = L
     and broken bodies give null targets and a null ``_rescued``. A column of
     ``lines`` that has the name of a target is replaced.
     """
-    keep = [c for c in lines.columns if c != body and c not in {t.name for t in targets}]
-    d = lines.select(*[F.col(f"`{c}`") for c in keep], F.try_parse_json(F.col(body)).alias("_v"))
+    keep = [c for c in lines.columns if c != body and c not in {*(t.name for t in targets), "_readable", "_rescued"}]
+    held = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    d = lines.select(held.alias("_keep"), F.try_parse_json(F.col(body)).alias("_v"))
     d = d.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v")))
     boxes = _containers(targets)
     at = {p: f"_m{i}" for i, p in enumerate(boxes)}
     d = d.withColumns({at[p]: F.try_variant_get("_v", "$" + (f".{p}" if p else ""), "map<string,variant>") for p in boxes})
     d = d.withColumns(
-        {at[p]: F.transform_values(at[p], lambda k, v: F.struct(_kind(v).alias("kind"), F.to_json(v).alias("json"))) for p in boxes}
+        {at[p]: F.transform_values(at[p], lambda k, v: F.struct(kind(v).alias("kind"), F.to_json(v).alias("json"))) for p in boxes}
     )
 
     def leaf(path: str) -> Column:
@@ -152,7 +139,7 @@ def ingest(lines: DataFrame, body: str = "body", targets: tuple[Target, ...] = L
     empty = F.expr("cast(map() as map<string,struct<kind:string,json:string>>)")
     all_ = F.map_concat(*[F.coalesce(m, empty) for m in rescued])
     return d.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col("_keep")[f"c{i}"].alias(c) for i, c in enumerate(keep)],
         F.col("_v").isNotNull().alias("_readable"),
         *[v.alias(k) for k, v in typed.items()],
         F.when(F.col("_v").isNotNull(), all_).alias("_rescued"),
@@ -189,11 +176,11 @@ def promote(ingested: DataFrame, targets: tuple[Target, ...] = LOG_LINES, trace:
         if t.name in trace:
             own = F.col(t.name).isNotNull()
             place = F.when(own, F.lit(t.path))
-            kind = F.when(own, F.lit({"long": "integer", "double": "decimal", "string": "string"}[t.type]))
+            was = F.when(own, F.lit({"long": "integer", "double": "decimal", "string": "string"}[t.type]))
             for p, x in zip((t.path, *t.approved), found, strict=True):
                 place = place.when(x["kind"].isNotNull(), F.lit(p))
-                kind = kind.when(x["kind"].isNotNull(), x["kind"])
-            d = d.withColumns({f"{t.name}__place": place, f"{t.name}__kind": kind})
+                was = was.when(x["kind"].isNotNull(), x["kind"])
+            d = d.withColumns({f"{t.name}__place": place, f"{t.name}__kind": was})
         d = d.withColumn(t.name, F.coalesce(F.col(t.name), *cast))
     def stays(k: Column, x: Column) -> Column:
         ok = F.lit(False)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallywise.plans.scale import dense_partitions, materialise
 
-_PID = "_pid"
+_PID = "__pid"
 
 
 class Ordered:

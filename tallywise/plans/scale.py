@@ -93,9 +93,9 @@ def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: int
 
 
 def dense_partitions(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """``df`` range-partitioned on keys and order, with its partition number ``_pid``, frozen.
+    """``df`` range-partitioned on keys and order, with its partition number ``__pid``, frozen.
 
     A key of any size is spread over as many partitions as its rows need.
     """
     cols = [*[F.col(k) for k in keys], *order]
-    return materialise(df.repartitionByRange(*cols).withColumn("_pid", F.spark_partition_id()))
+    return materialise(df.repartitionByRange(*cols).withColumn("__pid", F.spark_partition_id()))
