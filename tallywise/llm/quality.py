@@ -64,13 +64,13 @@ def tails(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """
     d = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     d = dense_partitions(d, by, [F.col(value)])
-    part = d.groupBy("_pid", *by).agg(F.sum("n").alias("_m"))
-    up = Window.partitionBy(*by).orderBy("_pid")
+    part = d.groupBy("__pid", *by).agg(F.sum("n").alias("_m"))
+    up = Window.partitionBy(*by).orderBy("__pid")
     part = part.select(
-        "_pid", *by, F.coalesce(F.sum("_m").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(*by)).alias("_all")
+        "__pid", *by, F.coalesce(F.sum("_m").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(*by)).alias("_all")
     )
-    d = d.withColumn("_run", F.sum("n").over(Window.partitionBy("_pid", *by).orderBy(value)))
-    d = join_checked(d, part, ["_pid", *by])
+    d = d.withColumn("_run", F.sum("n").over(Window.partitionBy("__pid", *by).orderBy(value)))
+    d = join_checked(d, part, ["__pid", *by])
     le = F.col("_before") + F.col("_run")
     return d.select(*by, value, "n", (le / F.col("_all")).alias("below"), ((F.col("_all") - le + F.col("n")) / F.col("_all")).alias("above"))
 
