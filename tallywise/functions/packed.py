@@ -31,12 +31,13 @@ def _unquote(span: Column) -> Column:
     first = F.substring(span, 1, 1)
 
     def plain(quote: str) -> Column:
-        x = F.regexp_replace(inner, quote + quote, quote)
-        # A backslash pair is set aside first, so that its halves aren't read again.
-        x = F.replace(x, F.lit("\\\\"), F.lit(_L))
-        x = F.replace(F.replace(F.replace(x, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-        x = F.regexp_replace(x, r"\\(?!u[0-9a-fA-F]{4})(.)", "$1")
-        return F.replace(x, F.lit(_L), F.lit("\\"))
+        # Pairs of backslashes cut the text, so that none of their halves is read again.
+        def part(x: Column) -> Column:
+            x = F.regexp_replace(x, quote + quote, quote)
+            x = F.replace(F.replace(F.replace(x, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+            return F.regexp_replace(x, r"\\(?!u[0-9a-fA-F]{4})(.)", "$1")
+
+        return F.array_join(F.transform(F.split(inner, r"\\\\", -1), part), "\\")
 
     def json(x: Column) -> Column:
         return F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v"), plain('"'))

@@ -22,6 +22,8 @@ def explode_packed(df: DataFrame, key: str, field: str, pos: str = "pos", value:
         d = d.where(F.col("f").rlike(r"[^\p{L}\p{N}_]"))
     d = with_values(d, "f", "v")
     if not keep_single:
-        d = d.where(F.size("v") >= 2)
-    d = d.select("k", F.posexplode("v").alias("p", "x"))
+        d = d.withColumn("v", F.when(F.size("v") >= 2, F.col("v")))
+    # An inner explode would add a filter on the array, and the optimizer would
+    # then compute the array again below every step that it takes.
+    d = d.select("k", F.posexplode_outer("v").alias("p", "x")).where("p is not null")
     return d.select(F.col("k").alias(key), (F.col("p") + 1).cast("int").alias(pos), F.col("x").alias(value))
