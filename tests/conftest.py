@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "3g").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("wh")))
+        .config("spark.driver.memory", "3g").config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("wh")))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -78,12 +78,31 @@ def test_overlap_budget_and_percent(spark):
     assert [x[0] for x in p] == [None, 3, 2, 255, 0]
 
 
-def test_ordered_matches_plain_windows(spark):
+@pytest.mark.parametrize("rows", ["few", "many"])
+def test_ordered_matches_plain_windows(spark, rows):
     from pyspark.sql import Window
 
+    one = {"few": "true", "many": "false"}[rows]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", one)
+    try:
+        _compare(spark, Window, rows == "few")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
+def _compare(spark, Window, alone):
     d = spark.range(2000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 97 = 0 then null else concat('k', id % 40) end k", "hash(id) % 50 v", "'p' __pid")
     o = Ordered(d, ["k"], ["id"]).lag(["v"]).running(sums={"s": F.col("v")}, maxes={"m": F.when(F.col("v") > 0, F.col("v"))})
+    assert o._alone is alone
     w = Window.partitionBy("k").orderBy("id")
     want = d.select("id", F.lag("v").over(w).alias("prev_v"), F.sum("v").over(w).alias("s"), F.max(F.when(F.col("v") > 0, F.col("v"))).over(w).alias("m"))
     got = o.df.select("id", "prev_v", "s", "m")
     assert got.exceptAll(want).count() == 0 and got.count() == 2000
+
+
+def test_groups_reach_over_several_partitions(spark):
+    d = spark.range(3000).selectExpr("id", "case when id % 3 > 0 then 'hot' else 'k' end k")
+    o = Ordered(d, ["k"], ["id"])
+    assert o._all.select("__pid").distinct().count() > 2 and o._all.where("k = 'hot'").select("__pid").distinct().count() > 1
+    s = o.running(sums={"n": F.lit(1)}).df
+    assert s.groupBy("k").agg(F.max("n").alias("n"), F.countDistinct("n").alias("d")).where("n <> d").count() == 0
