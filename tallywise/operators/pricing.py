@@ -33,7 +33,8 @@ def match_models(names: DataFrame, catalog: DataFrame, name: str = "model", key:
     without it; one contains the other regardless of case. The first tier that
     hits counts, then the longest key, then the greatest. Empty names match nothing.
 
-    Different names are few against rows, and the catalog's size is checked.
+    The catalog is a query set of checked size that is held against each different
+    name, of which there are few against rows; partial names can't be found by equality.
     """
     if not small_or_none(catalog, CATALOG_ROWS):
         raise ValueError(f"the catalog has more than {CATALOG_ROWS} entries")

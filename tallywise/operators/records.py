@@ -40,8 +40,9 @@ def keep_max(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str]
 
 def dedup_counts(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """One row (before, after)."""
-    kept = keep_max(df, key, value, order)
-    return df.agg(F.count(F.lit(1)).alias("before")).crossJoin(kept.agg(F.count(F.lit(1)).alias("after")))  # one row each
+    one = lambda d, b, a: d.select(F.lit(b).alias("b"), F.lit(a).alias("a"))
+    both = one(df, 1, 0).unionByName(one(keep_max(df, key, value, order), 0, 1))
+    return both.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("before"), F.coalesce(F.sum("a"), F.lit(0)).alias("after"))
 
 
 def parse_iso(c: Column) -> Column:

@@ -231,7 +231,7 @@ def windows(df: DataFrame, kind: str = "5h", intervals: Sequence[tuple[int, int]
     stream = cum.withColumn("_row", F.lit(1)).unionByName(marks.select(s.session, s.ts, F.lit(0).cast(cum.schema[s.seq].dataType).alias(s.seq), *none, F.lit(0).alias("_row")))
     run = Ordered(stream, [s.session], [s.ts, "_row", s.seq]).running(maxes={f"at_{c}": F.col(f"cum_{c}") for c in s.counters}).df
     at = run.where("_row = 0").select(s.session, F.col(s.ts).alias("_t"), *[f"at_{c}" for c in s.counters])
-    at = at.join(base, s.session).select(s.session, "_t", F.struct(*[F.coalesce(f"at_{c}", F.col("_base")[c]).alias(c) for c in s.counters]).alias("_v"))
+    at = join_checked(at, base, [s.session]).select(s.session, "_t", F.struct(*[F.coalesce(f"at_{c}", F.col("_base")[c]).alias(c) for c in s.counters]).alias("_v"))
     at = materialise(at)
     d = pairs.join(at.select(s.session, F.col("_t").alias("window_end"), F.col("_v").alias("_e")), [s.session, "window_end"])
     d = d.join(at.select(s.session, F.col("_t").alias("window_start"), F.col("_v").alias("_s")), [s.session, "window_start"])
