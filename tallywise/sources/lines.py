@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywise.plans.ordered import Ordered
 
-_TRIM = r"^[\s ﻿]+|[\s ﻿]+$"
+_TRIM = r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$"
 
 
 def jsonl_files(root: str) -> list[str]:
