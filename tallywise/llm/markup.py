@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _IMAGE = re.compile(r"\[img\][^\[\]]*\[/img\]", re.I)
 _INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|font|a|code|small|big)\b[^<>]*>|\[/?(?:b|i|u|s|size|color|font|url|code)(?:=[^\[\]]*)?\]", re.I)
 _BLOCK = re.compile(r"</?[a-z][a-z0-9]*\b[^<>]*>|\[/?(?:quote|list|\*|img|center|spoiler)(?:=[^\[\]]*)?\]", re.I)
