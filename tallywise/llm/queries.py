@@ -81,6 +81,28 @@ def queries() -> dict:
     }
 
 
+def _plain_sql(c: str) -> str:
+    """The words of a text as DuckDB reads them, for the markup that these tables hold."""
+    x = c
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    steps = (
+        (r"[\x{00ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]", ""),
+        (r"(?i)\[img\][^\[\]]*\[/img\]", " "),
+        (r"(?i)</?(?:b|i|u|s|em|strong|span|font|a|code|small|big)\b[^<>]*>|\[/?(?:b|i|u|s|size|color|font|url|code)(?:=[^\[\]]*)?\]", ""),
+        (r"(?i)</?[a-z][a-z0-9]*\b[^<>]*>|\[/?(?:quote|list|\*|img|center|spoiler)(?:=[^\[\]]*)?\]", " "),
+    )
+    for pattern, to in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _runs_sql(name: str, key: str) -> str:
+    n = leakage.SPAN
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS run
+FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM (SELECT {key}, {_plain_sql('text')} AS w FROM {name}))"""
+
+
 def oracle_sql() -> dict[str, str]:
     day = "CAST(record_timestamp AT TIME ZONE 'UTC' AS DATE)"
     return {
@@ -89,6 +111,8 @@ WITH r AS (SELECT session_id, {day} AS day, project FROM token_records WHERE ses
 SELECT 'day' AS grain, day, CAST(NULL AS VARCHAR) AS project, count(DISTINCT session_id) AS n_sessions, 0.0::DOUBLE AS error_bound FROM r GROUP BY day
 UNION ALL SELECT 'project', NULL, project, count(DISTINCT session_id), 0.0::DOUBLE FROM r GROUP BY project
 UNION ALL SELECT 'pair', day, project, count(DISTINCT session_id), 0.0::DOUBLE FROM r GROUP BY day, project""",
+        "p7_found": f"""WITH d AS ({_runs_sql('documents', 'doc_id')}), i AS ({_runs_sql('eval_items', 'item_id')})
+SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (run)""",
         "p4_merged": "SELECT project, count(DISTINCT session_id) AS n_sessions FROM token_records WHERE session_id IS NOT NULL GROUP BY project",
         "p4_weekend_and_weekday": f"""
 WITH r AS (SELECT session_id, dayofweek({day}) IN (0, 6) AS w FROM token_records WHERE session_id IS NOT NULL)
