@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywise.functions.instants import _zone_rows, months
 from tallywise.operators import instants, packed, redelivery, rescue
 from tallywise.sources.tables import table
 
@@ -94,11 +95,75 @@ vals AS (
 """
 
 
+def _instants_sql() -> str:
+    """p5_found: one canonical text per value, then wall time, zone and instant; RE2 has nine groups."""
+    zone = r"(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Z]{2,5})?(?:\[[A-Z0-9_+/-]+\])?"
+    time = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([AP]M))?"
+    word, day = r"([\p{L}]{3,10})\.?", r"(?:[\p{L}]{2,10},? +)?"
+    forms = (
+        ("n", rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})[T ]{time} ?{zone}$", "123456789"),
+        ("n", rf"^(\d{{4}})(\d{{2}})(\d{{2}})[T ](\d{{2}})(\d{{2}})(\d{{2}})()() ?{zone}$", "123456789"),
+        ("s", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}),? {time} ?{zone}$", "312456789"),
+        ("n", rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}),? {time} ?{zone}$", "321456789"),
+        ("w", rf"^{day}(\d{{1,2}})\.? {word} (\d{{4}}),? {time} ?{zone}$", "321456789"),
+        ("w", rf"^{day}{word} (\d{{1,2}}),? (\d{{4}}),? {time} ?{zone}$", "312456789"),
+        ("o", rf"^(\d{{4}})-(\d{{3}})()[T ]{time} ?{zone}$", "123456789"),
+        ("w", rf"^{day}{word} +(\d{{1,2}}) {time} {zone} (\d{{4}})$", "912345678"),
+    )
+    canon = " ".join(f"WHEN regexp_matches(s, '{p}') THEN regexp_replace(s, '{p}', '{k}" + "".join(f"|\\{g}" for g in groups) + "')" for k, p, groups in forms)
+    known = ", ".join(f"('{z}', '{a}', {o})" for z, names in _zone_rows() for a, o in sorted(names.items()))
+    names = ", ".join(f"('{k.upper()}', {m})" for k, m in sorted(months().items()))
+    spans = ((1, 6), (1000, 3), (10**6, 0), (10**9, -3))
+    low, high = 1735689600, 1798761600
+    unit = " ".join(
+        f"WHEN CAST(a AS HUGEINT) >= {low}::HUGEINT * {k} AND CAST(a AS HUGEINT) < {high}::HUGEINT * {k} THEN "
+        + (f"CAST(a || rpad(b, {up}, '0')[1:{up}] AS BIGINT)" if up > 0 else f"CAST(a[1:length(a) - {-up}] AS BIGINT)")
+        for k, up in spans
+    )
+    union = " UNION ALL ".join(f"SELECT row_id, client_id, '{c}' AS field_name, {c} AS t FROM transcript_lines WHERE {c} IS NOT NULL" for c in ("line_timestamp", "created_at", "updated_at"))
+    return rf"""
+WITH known(zone, abbr, secs) AS (VALUES {known}), months(name, nr) AS (VALUES {names}),
+v AS ({union}),
+t AS (SELECT row_id, client_id, field_name, upper(regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '^"\s*(.*?)\s*"$', '\1')) AS s FROM v),
+e AS (
+  SELECT row_id, field_name, CASE {unit} END AS instant_us FROM (
+    SELECT *, split_part(s, '.', 1) AS a, split_part(s, '.', 2) AS b FROM t WHERE regexp_matches(s, '^\d{{9,20}}(\.\d*)?$'))),
+c AS (SELECT row_id, client_id, field_name, string_split(x, '|') AS p FROM (SELECT *, CASE {canon} END AS x FROM t) WHERE x IS NOT NULL),
+d AS (
+  SELECT c.*, cl.zone_name, cl.date_order, CAST(p[2] AS INT) AS y,
+    CASE p[1] WHEN 'w' THEN m.nr WHEN 'o' THEN 1 WHEN 's' THEN CAST(CASE cl.date_order WHEN 'mdy' THEN p[3] ELSE p[4] END AS INT) ELSE CAST(p[3] AS INT) END AS mo,
+    CASE p[1] WHEN 'o' THEN 1 WHEN 's' THEN CAST(CASE cl.date_order WHEN 'mdy' THEN p[4] ELSE p[3] END AS INT) ELSE CAST(p[4] AS INT) END AS dy,
+    CASE WHEN p[1] = 'o' THEN CAST(p[3] AS INT) - 1 ELSE 0 END AS more, CAST(p[5] AS INT) AS h, CAST(p[6] AS INT) AS mi,
+    coalesce(try_cast(p[7] AS INT), 0) AS sec, CAST(rpad(p[8], 6, '0')[1:6] AS BIGINT) AS micro, p[9] AS ap, p[10] AS z
+  FROM c LEFT JOIN clients cl USING (client_id) LEFT JOIN months m ON m.name = p[3]),
+w AS (
+  SELECT *, CASE WHEN h <= 23 AND mi <= 59 AND sec <= 59 AND (ap = '' OR h BETWEEN 1 AND 12) AND (p[1] <> 'o' OR (more >= 0 AND more < CASE WHEN isodow(make_date(y, 1, 1)) IS NOT NULL
+      AND try_cast(y || '-02-29' AS DATE) IS NOT NULL THEN 366 ELSE 365 END))
+    THEN epoch(try_cast(printf('%04d-%02d-%02d', y, mo, dy) AS DATE)) + more * 86400 + (CASE ap WHEN '' THEN h WHEN 'PM' THEN h % 12 + 12 ELSE h % 12 END) * 3600 + mi * 60 + sec END AS wall
+  FROM d WHERE y > 0),
+o AS (
+  SELECT w.*, CASE WHEN z IN ('Z', 'UTC', 'GMT') THEN 0
+      WHEN regexp_matches(z, '^[+-]') THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (CAST(z[2:3] AS INT) * 3600 + coalesce(try_cast(replace(z[4:], ':', '') AS INT), 0) * 60)
+      WHEN z <> '' THEN k.secs
+      WHEN regexp_matches(zone_name, '^[+-]') THEN (CASE WHEN zone_name[1] = '-' THEN -1 ELSE 1 END) * (CAST(zone_name[2:3] AS INT) * 3600 + CAST(zone_name[5:6] AS INT) * 60)
+      WHEN zone_name IS NULL OR zone_name = 'UTC' THEN 0 END AS off,
+    make_timestamp(CAST(wall AS BIGINT) * 1000000) AS local
+  FROM w LEFT JOIN known k ON k.zone = zone_name AND k.abbr = z WHERE wall IS NOT NULL),
+u AS (SELECT *, CASE WHEN off IS NULL AND z = '' THEN local AT TIME ZONE zone_name END AS utc FROM o)
+SELECT row_id, field_name, instant_us FROM e WHERE instant_us IS NOT NULL
+UNION ALL
+SELECT row_id, field_name, CASE WHEN off IS NOT NULL THEN (CAST(wall AS BIGINT) - off) * 1000000 ELSE epoch_us(utc) END + micro
+FROM u
+WHERE off IS NOT NULL OR (utc IS NOT NULL AND utc AT TIME ZONE zone_name = local
+  AND (utc + INTERVAL 1 HOUR) AT TIME ZONE zone_name <> local AND (utc - INTERVAL 1 HOUR) AT TIME ZONE zone_name <> local)"""
+
+
 def oracle_sql() -> dict[str, str]:
     number = "CASE t WHEN 'OBJECT' THEN coalesce((v ->> '$.count')::DOUBLE, (v ->> '$.short_lived')::DOUBLE + (v ->> '$.long_lived')::DOUBLE) ELSE try_cast(v ->> '$' AS DOUBLE) END"
     one = lambda n: f"CAST(max(CASE WHEN field_name = '{n}' THEN x END) AS BIGINT) AS {n}"
     return {
         "p2_found": f"WITH {_IDS} SELECT row_id FROM ranked WHERE k > 1",
+        "p5_found": _instants_sql(),
         "p2_batches": f"WITH {_IDS} SELECT batch_id, count(*) AS kept, CAST(sum(n) AS BIGINT) AS delivered FROM ranked WHERE k = 1 GROUP BY batch_id",
         "p3_found": f"""
 WITH {_values()},
