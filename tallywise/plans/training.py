@@ -95,6 +95,27 @@ vals AS (
 """
 
 
+def _split_sql() -> str:
+    """(record_id, pos, tool_name, k): lexemes of more than a character become single placeholder characters."""
+    quoted = r'"(?:[^"\\]|\\.|"")*"' + "|" + r"''(?:[^''\\]|\\.|'''')*''"
+    delim = r"\s*(?:[,;|\t\r\n、，；]|(?:^|\s)[&+/·](?:\s+[&+/·])*(?:\s|$))\s*"
+    inner = "x[2:length(x) - 1]"
+    plain = lambda q: rf"regexp_replace(replace(replace({inner}, '{q}{q}', '{q}'), '\t', chr(9)), '\\(.)', '\1', 'g')"
+    value = f"CASE x[1] WHEN '\"' THEN {plain(chr(34))} WHEN '''' THEN {plain(chr(39) * 2)} ELSE x[2:] END"
+    return rf"""
+lexed AS (SELECT record_id, regexp_extract_all(regexp_replace(tool_names, '^\s+|\s+$', '', 'g'), '(?s){quoted}|\\.|.') AS l FROM token_records WHERE tool_names IS NOT NULL),
+held AS (
+  SELECT record_id, list_transform(l, lambda x: CASE WHEN length(x) > 1 THEN {value} ELSE x END) AS v,
+    regexp_replace(array_to_string(list_transform(l, lambda x, i: CASE WHEN length(x) > 1 THEN chr(CAST(57344 + i AS INT)) ELSE x END), ''), '(?s)^[\[{{(]\s*(.*?)\s*[\]}})]$', '\1') AS h
+  FROM lexed),
+parts AS (
+  SELECT record_id, v, CASE WHEN regexp_matches(h, '{delim}') THEN string_split_regex(h, '{delim}') ELSE string_split_regex(h, '\s+') END AS p FROM held),
+named AS (
+  SELECT record_id, list_filter(list_transform(p, lambda w: regexp_replace(array_to_string(list_transform(string_split(w, ''),
+    lambda c: CASE WHEN ord(c) BETWEEN 57345 AND 63743 THEN v[ord(c) - 57344] ELSE c END), ''), '^\s+|\s+$', '', 'g')), lambda w: w <> '') AS n FROM parts),
+vals AS (SELECT record_id, len(n) AS k, unnest(generate_series(1, len(n))) AS pos, unnest(n) AS tool_name FROM named)"""
+
+
 def _instants_sql() -> str:
     """p5_found: one canonical text per value, then wall time, zone and instant; RE2 has nine groups."""
     zone = r"(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Z]{2,5})?(?:\[[A-Z0-9_+/-]+\])?"
@@ -163,6 +184,8 @@ def oracle_sql() -> dict[str, str]:
     one = lambda n: f"CAST(max(CASE WHEN field_name = '{n}' THEN x END) AS BIGINT) AS {n}"
     return {
         "p2_found": f"WITH {_IDS} SELECT row_id FROM ranked WHERE k > 1",
+        "p1_found": f"WITH {_split_sql()} SELECT record_id, CAST(pos AS INT) AS pos, tool_name FROM vals WHERE k >= 2",
+        "p1_values": f"WITH {_split_sql()} SELECT tool_name, count(*) AS named, count(DISTINCT record_id) AS records FROM vals GROUP BY tool_name",
         "p5_found": _instants_sql(),
         "p2_batches": f"WITH {_IDS} SELECT batch_id, count(*) AS kept, CAST(sum(n) AS BIGINT) AS delivered FROM ranked WHERE k = 1 GROUP BY batch_id",
         "p3_found": f"""
