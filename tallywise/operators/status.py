@@ -214,7 +214,7 @@ def windows(df: DataFrame, kind: str = "5h", intervals: Sequence[tuple[int, int]
         raise ValueError(kind)
     resets = s.seven_day_resets if kind == "1w" else s.five_hour_resets
     length = {"1h": 18_000, "5h": 18_000, "1w": 604_800}[kind]
-    cum = materialise(cumulative(df, s).select(s.session, s.ts, s.seq, *[f"cum_{c}" for c in s.counters]))
+    cum = cumulative(df, s).select(s.session, s.ts, s.seq, *[f"cum_{c}" for c in s.counters])
     base = df.groupBy(s.session).agg(F.min_by(F.struct(*s.counters), F.struct(s.ts, s.seq)).alias("_base"))
     w = df.where(F.col(resets).isNotNull()).withColumn("window_end", F.col(resets)).withColumn("window_start", F.col(resets) - length)
     if kind == "1h":
