@@ -94,8 +94,8 @@ def segmented(df: DataFrame, s: Status = S) -> Ordered:
 
 def cumulative(df: DataFrame, s: Status = S) -> DataFrame:
     """Rows with ``cum_<counter>``: the total up to the row, over all segments so far."""
-    o = segmented(df, s)
-    o = o.running(maxes={f"_top_{c}": F.greatest(F.col(c), F.lit(0)) for c in s.counters}, within=["segment"])
+    o = segmented(df, s).freeze()
+    o = o.running(maxes={f"_top_{c}": F.greatest(F.col(c), F.lit(0)) for c in s.counters}, within=["segment"]).freeze()
     o = o.lag([f"_top_{c}" for c in s.counters], "_was")
     o = o.running(sums={f"_closed_{c}": F.when(F.col("_reset") == 1, F.col(f"_was_top_{c}")) for c in s.counters})
     o = o.with_columns({f"cum_{c}": F.col(f"_top_{c}") + F.col(f"_closed_{c}") for c in s.counters})

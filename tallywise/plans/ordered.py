@@ -46,6 +46,10 @@ class Ordered:
     def with_columns(self, cols: Mapping[str, Column]) -> Ordered:
         return self._with(self._all.withColumns(dict(cols)))
 
+    def freeze(self) -> Ordered:
+        """The same, written once, so that the carries of later steps don't compute earlier steps again."""
+        return self if self._alone else self._with(materialise(self._all))
+
     def _window(self, keys: Sequence[str]):
         return Window.partitionBy(_PID, *keys).orderBy(*[k for k in self.keys if k not in keys], *self.order)
 
