@@ -60,3 +60,51 @@ def test_masks_and_empty_tables(spark):
     assert L.leaks(d, i.where("false")).count() == 0 and L.leaks(d.where("false"), i).count() == 0
     r = L.leaks(d, i).collect()
     assert len(r) == 1 and r[0]["exact_run"] == 50
+
+
+def test_seeds_hit_every_accepted_overlap():
+    seen = []
+
+    def grow(bits):
+        for gap in range(1, L.GAP + 1):
+            for run in range(1, L.SPAN):
+                new = [*bits, *[0] * gap, *[1] * run]
+                if sum(new) >= L.SIMILARITY * len(new):
+                    seen.append(new) if len(new) >= L.SPAN else grow(new)
+
+    for first in range(1, L.SPAN):
+        grow([1] * first)
+    marks = [np.array(list(m), int) for m in (*L.MASKS, L.RUN)]
+    assert len(seen) == 2832 and all(L.overlap(np.array(s, bool)) for s in seen)
+    for s in seen:
+        assert any((np.lib.stride_tricks.sliding_window_view(s, len(m)) >= m).all(1).any() for m in marks if len(m) <= len(s)), s
+
+
+def test_tolerant_overlaps_match_brute_force(spark):
+    rnd = random.Random(7)
+    items = [(i, " ".join(rnd.choices(VOCAB, k=rnd.choice([13, 16, 30, 60])))) for i in range(25)]
+    docs = []
+    for d in range(200):
+        parts = []
+        for _ in range(rnd.randint(0, 3)):
+            src = rnd.choice(items)[1].split()
+            a = rnd.randrange(len(src))
+            part = src[a : a + rnd.randint(10, 30)]
+            for k in rnd.sample(range(len(part)), len(part) * rnd.randint(0, 3) // 12):
+                part[k] = rnd.choice(["other", *VOCAB])
+            parts += rnd.choices(VOCAB, k=rnd.randint(0, 15)) + part
+        docs.append((d, " ".join(parts)))
+    want = {}
+    for d, x in docs:
+        for i, t in items:
+            a, b = np.array(x.split()), np.array(t.split())
+            for off in range(-len(b) + 1, len(a)):
+                lo, hi = max(0, -off), min(len(b), len(a) - off)
+                found = L.overlap(a[lo + off : hi + off] == b[lo:hi])
+                if found:
+                    at, size, wrong, run = found
+                    row = (run, size, -(lo + off + at), -(lo + at), wrong)
+                    want[i, d] = max(want.get((i, d), row), row)
+    got = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["item_id"], r["doc_id"]): (r["exact_run"], r["words"], -r["doc_word"], -r["item_word"], r["substitutions"]) for r in got} == want
+    assert len(got) == len(want) and sum(w[4] > 1 and w[0] < 9 for w in want.values()) > 20
