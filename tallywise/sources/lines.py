@@ -26,7 +26,7 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     Files are split like any text file; the numbers come from a running count over
     the offset of the block and the order in it, so that a large file is no single
-    task. A file that isn't UTF-8 gives no line.
+    task. A file whose bytes aren't UTF-8 gives no line; the character U+FFFD may stand in one that is.
     """
     if not paths:
         return spark.createDataFrame([], "file_path string, modified_at timestamp, line int, body string")
@@ -35,9 +35,10 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.col("_metadata.file_modification_time").alias("modified_at"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.regexp_replace("value", _TRIM, "").alias("body"),
+        F.is_valid_utf8("value").alias("_valid"),
     )
     t = t.withColumn("_at", F.monotonically_increasing_id())
     o = Ordered(t.where("body <> ''"), ["file_path"], ["_block", "_at"]).running(sums={"line": F.lit(1)})
     d = o.df.withColumn("line", F.col("line").cast("int")).drop("_block", "_at")
-    broken = d.where(F.contains("body", F.lit("�"))).select("file_path").distinct()
-    return d.join(broken, "file_path", "left_anti")
+    broken = d.where("not _valid").select("file_path").distinct()
+    return d.drop("_valid").join(broken, "file_path", "left_anti")

@@ -59,6 +59,22 @@ def test_load_status(spark, tree):
     assert d.count() == 0 and tuple(n.first()) == (0, 0)
 
 
+def test_replacement_character_is_no_broken_file(spark, tree, tmp_path):
+    a = tmp_path / "projects/p"
+    a.mkdir(parents=True)
+    odd = json.dumps({"type": "assistant", "message": {"content": "\ufffd"}}, ensure_ascii=False)
+    (a / "valid.jsonl").write_text(odd + "\n" + message(1, 1) + "\n", encoding="utf-8")
+    for i, part in enumerate((b"\xff", b"\xed\xa0\x80", b"\xe2\x82")):
+        (a / f"broken{i}.jsonl").write_bytes(message(2 + i, 1).encode() + b"\n" + part + b"\n" + odd.encode() + b"\n")
+    assert [(r["session_id"], r["line_no"]) for r in transcripts.load_usage(spark, str(tmp_path)).collect()] == [("valid", 2)]
+    lines = (tree / "status.jsonl").read_bytes()
+    (tmp_path / "status.jsonl").write_bytes(lines + "\ufffd\n".encode())
+    d, n = load_status(spark, str(tmp_path / "status.jsonl"))
+    assert d.count() == 6 and tuple(n.first()) == (6, 5)
+    (tmp_path / "status.jsonl").write_bytes(lines + b"\xff\n")
+    assert tuple(load_status(spark, str(tmp_path / "status.jsonl"))[1].first()) == (0, 0)
+
+
 def test_prices(spark, tree):
     c, at = prices.load_catalog(spark, str(tree / "prices.json"))
     assert at == "2025-01-01" and tuple(c.first()) == ("abc", 0.5, 1.0, 0.0, 0.0)
