@@ -169,6 +169,10 @@ def _runs(own: str) -> Iterable[tuple[str, list[str]]]:
 FIGURES = ("words", "mean_word", "symbol_share", "ended_share", "common_share", "clause_share", "prose_share", "own_chars")
 
 
+#: Columns of :func:`whole`.
+WHOLE = FIGURES[:5]
+
+
 def statistics(text: str | None, lex: Lexicon) -> tuple:
     """(language, *FIGURES) of the own text.
 
@@ -178,7 +182,20 @@ def statistics(text: str | None, lex: Lexicon) -> tuple:
     that whose common words are the most frequent (ties by name). An empty or null
     text has 0 everywhere and no language; shares over nothing are 0.
     """
-    own = own_text(text) if text else ""
+    return _statistics(own_text(text) if text else "", lex)
+
+
+def whole(text: str | None, lex: Lexicon, own: tuple) -> tuple:
+    """WHOLE of the text with quoted text and signature; ``own`` is :func:`statistics` of it.
+
+    Common words are those of the language that has the most of them in the whole text.
+    """
+    if not text or _size(text) == own[-1]:
+        return own[1:6]
+    return _statistics(text, lex, judge=False)[1:6]
+
+
+def _statistics(own: str, lex: Lexicon, judge: bool = True) -> tuple:
     n = letters = lines = ended = good = total = 0
     common, clause = [0] * len(lex.langs), [0] * len(lex.langs)
     for kind, run in _runs(own):
@@ -189,7 +206,7 @@ def statistics(text: str | None, lex: Lexicon) -> tuple:
         size = _size(raw)
         total += size
         ends = sum(1 for x in run if _END.search(x.rstrip()))
-        if _is_prose(kind, len(run), ends, clean, words, b, some):
+        if judge and _is_prose(kind, len(run), ends, clean, words, b, some):
             good += size
         n += len(words)
         letters += sum(map(len, words))

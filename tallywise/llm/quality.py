@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywise.llm.prose import FIGURES, Lexicon, statistics
+from tallywise.llm.prose import FIGURES, WHOLE, Lexicon, statistics, whole
 from tallywise.plans.scale import dense_partitions, join_checked, join_counted, materialise
 
+#: Columns of the own text's statistics.
+OWN = tuple(f"own_{c}" if c in WHOLE else c for c in FIGURES)
 #: Statistics that are ranked.
-RANKED = ("words", "mean_word", "symbol_share", "ended_share", "common_share", "clause_share", "prose_share")
+RANKED = OWN[:-1]
 #: Most rows of the table of common words, which is broadcast.
 LEXICON_ROWS = 100_000
 #: A text is prose if more than this share of its characters is in sentences.
@@ -28,31 +30,39 @@ PROSE = 0.5
 NO_LANGUAGE = "und"
 
 
-def figures(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(key, keep..., language, *FIGURES) of each row's own text; see :func:`tallywise.llm.prose.statistics`.
+def figures(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), with_whole: bool = True) -> DataFrame:
+    """(key, keep..., *WHOLE, language, *OWN): the figures of each row's text, then language and statistics of its own text.
 
-    Null and empty texts have zeros and the language NO_LANGUAGE. Whole texts are read.
+    See :func:`tallywise.llm.prose.statistics`. Null and empty texts have zeros and the
+    language NO_LANGUAGE. Without ``with_whole``, WHOLE is neither computed nor given.
     """
     rows = common_words.select("lang", "word").limit(LEXICON_ROWS + 1).collect()
     if len(rows) > LEXICON_ROWS:
         raise ValueError(f"more than {LEXICON_ROWS} common words")
     shared = docs.sparkSession.sparkContext.broadcast(Lexicon(sorted((r for r in map(tuple, rows) if None not in r))))
     types = [pa.string(), pa.int64(), *[pa.float64()] * 6, pa.int64()]
-    names = ["language", *FIGURES]
+    names = ["language", *OWN]
+    if with_whole:
+        types, names = [*types[1:6], *types], [*WHOLE, *names]
+    at = names.index("language")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for b in batches:
-            found = [statistics(t, lex) for t in b.column(b.num_columns - 1).to_pylist()]
+            found = []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                own = statistics(t, lex)
+                found.append((*whole(t, lex, own), *own) if with_whole else own)
             cols = list(zip(*found, strict=True)) if found else [()] * len(names)
-            cols[0] = [x or NO_LANGUAGE for x in cols[0]]
+            cols[at] = [x or NO_LANGUAGE for x in cols[at]]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[*b.schema.names[:-1], *names]
             )
 
     first = docs.select(F.col(key).alias("_key"), *[F.col(c) for c in keep], F.col(text).alias("_text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1])
-    schema = f"{head}, language string, words bigint, {', '.join(f'{c} double' for c in FIGURES[1:-1])}, own_chars bigint"
+    kinds = {pa.string(): "string", pa.int64(): "bigint", pa.float64(): "double"}
+    schema = ", ".join([head, *[f"{c} {kinds[t]}" for c, t in zip(names, types, strict=True)]])
     return first.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 

@@ -62,14 +62,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_overlaps(spark, sf_dir).where(f"exact_run >= {leakage.SPAN}").select("item_id", "doc_id").distinct()
 
 
-def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics of every document and its outlier score."""
+def _scores(spark: SparkSession, sf_dir: str, with_whole: bool) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("withdrawn", F.col("author").isNull())
-    return quality.outlier_scores(quality.figures(docs, table(spark, sf_dir, "common_words"), keep=["withdrawn"]))
+    return quality.outlier_scores(quality.figures(docs, table(spark, sf_dir, "common_words"), keep=["withdrawn"], with_whole=with_whole))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of every document's text, the statistics of its own text and its outlier score."""
+    return _scores(spark, sf_dir, True)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.not_prose(p8_scores(spark, sf_dir)).where("not withdrawn").select("doc_id")
+    return quality.not_prose(_scores(spark, sf_dir, False)).where("not withdrawn").select("doc_id")
 
 
 def queries() -> dict:

@@ -34,6 +34,19 @@ def test_figures_by_hand():
     assert statistics(None, LEX) == statistics("", LEX) == statistics("> only\n> quoted", LEX) == (None, 0, *[0.0] * 6, 0)
 
 
+def test_whole_text_figures(spark):
+    words = spark.createDataFrame([(k, w) for k, v in WORDS.items() for w in v.split()], "lang string, word string")
+    texts = ["> It was ok.\n> yes", "[quote=a]Who is it?[/quote]\nIt was\n\n-- \nme", "It was ok.\n\nthe end", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in Q.outlier_scores(Q.figures(docs, words)).collect()}
+    got = {i: tuple(r[c] for c in ("words", "mean_word", "symbol_share", "ended_share", "common_share")) for i, r in rows.items()}
+    assert got[0] == pytest.approx((4, 10 / 4, 3 / 13, 1 / 2, 2 / 4)) and (rows[0]["own_words"], rows[0]["own_chars"]) == (0, 0)
+    assert got[1] == pytest.approx((6, 14 / 6, 9 / 34, 0, 5 / 6)) and (rows[1]["own_words"], rows[1]["own_mean_word"]) == (2, 2.5)
+    assert got[2] == pytest.approx((5, 13 / 5, 1 / 14, 1 / 2, 3 / 5)) and got[2] == tuple(rows[2][f"own_{c}"] for c in ("words", "mean_word", "symbol_share", "ended_share", "common_share"))
+    assert got[3] == got[4] == (0, 0.0, 0.0, 0.0, 0.0)
+    assert "words" not in Q.figures(docs, words, with_whole=False).columns
+
+
 def test_tails_match_brute_force(spark):
     rnd = random.Random(1)
     rows = [(rnd.choice("ab"), float(rnd.choice([1, 1, 1, 2, 3, rnd.randint(4, 90)]))) for _ in range(900)]
