@@ -112,8 +112,8 @@ def outlier_scores(fig: DataFrame, by: str = "language", ranked: Sequence[str] =
 def not_prose(scored: DataFrame) -> DataFrame:
     """Rows of texts that are mostly lists, tables or junk.
 
-    Candidates are the outliers of their language (score at the bar or above, which
-    every such text reaches); the composition of their own text decides exactly.
+    The composition of the own text decides alone: ``bar`` is a bound that every such
+    text reaches, so the score leaves none out.
     Texts without own characters are none.
     """
     near = F.col("outlier_score") >= F.col("bar") - 1e-9
