@@ -57,3 +57,12 @@ def test_permutation_is_invertible(spark):
 def test_empty_and_repeated_rows(spark):
     assert R.dropped(spark.createDataFrame([], SCHEMA)).count() == 0
     assert R.dropped(spark.createDataFrame([(1, 1, "a", "b", 1, "", "")] * 3, SCHEMA)).count() == 0
+
+
+def test_batches_keep_null_and_negative_numbers(spark, tmp_path):
+    from tallywise.plans.training import p2_batches
+
+    data = [(1, None, "m1", "r", 1), (2, -3, "m1", "r", 2), (3, 4, "m2", "r", 1), (4, None, "m2", "r", 1), (5, None, "m3", "r", 1), (6, 1, "m3", "r", None)]
+    df = spark.createDataFrame(data, "row_id long, batch_id long, message_id string, request_id string, output_tokens long")
+    df.write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    assert {tuple(r) for r in p2_batches(spark, str(tmp_path)).collect()} == {(-3, 1, 2), (4, 1, 2), (None, 1, 2)}
