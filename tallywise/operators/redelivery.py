@@ -1,9 +1,9 @@
 """Messages delivered more than once: exactly one copy of each is kept.
 
 The identifiers of a message are permuted and split into a quotient and a
-complete remainder, the layout of a quotient hash table. The quotient names the
-shard, the remainder holds everything else, so two entries are equal only if the
-identifiers are: there are no false matches at any size. The table is a
+complete remainder, as in a quotient hash table. The remainder holds everything
+else, so two entries are equal only if the identifiers are: there are no false
+matches at any size. A grouped aggregate over both stands for the table: a
 DataFrame with one row per identifier; tables of several batches merge.
 """
 
