@@ -163,6 +163,8 @@ def run_status(spark: SparkSession, o) -> str:
         g = views.action_grid(rows, tz, _mode(o), _compact(o))
     else:
         g = views.status_grid(rows, view, tz, _mode(o), _compact(o))
+    if (o.output or "txt") != "txt":
+        g.headers = grid.long_headers(g)
     return grid.render(g, o.output or "txt", f"Status by {view}", sys.stdout.isatty() and not o.filename, quoted_tsv=True)
 
 

@@ -111,6 +111,12 @@ def test_status_views(spark, tree, capsys, args, parts):
     assert all(p in out.out for p in parts) and "6 loaded, 4 malformed" in out.err
 
 
+@pytest.mark.parametrize("form,head", [("csv", "Session,Cost,Duration,API Time,Lines,Segments,"), ("tsv", "\tSegments\t"), ("markdown", "| Segments |")])
+def test_status_headers_are_long(spark, tree, capsys, form, head):
+    assert main(["sl", "--file", str(tree / "status.jsonl"), "--per", "session", "--table", "full", "--output", form, "--filename", "-"], spark) == 0
+    assert head in capsys.readouterr().out.splitlines()[0]
+
+
 def test_validation(capsys):
     assert main(["--per", "x", "--per", "day", "--per", "day", "--from", "1.1.25", "--5hfrom", "2025-01-01", "--5hto", "2025-01-01", "--chart", "cost", "--output", "csv"]) == 1
     assert len(capsys.readouterr().err.splitlines()) == 6
