@@ -1,23 +1,14 @@
-"""Own text of a post, its statistics, and which parts of it are sentences."""
+"""Own text of a post, its passages, and their statistics."""
 
 from __future__ import annotations
 
 import html
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from tallywise.llm.markup import plain
 
-#: Common words that also stand in names of things (articles, possessives,
-#: prepositions, "and"); the other common words make clauses. Fixed values.
-NOMINAL = {
-    "en": "a an the my our your of on in to too for from with by at as and or one any",
-    "de": "der die das dem den des mein meine mir von vom zu zum für mit bei am im aus nach und oder auf ohne nur aber",
-    "es": "el la los las un una mi mis su de del en a al con sin por para sobre y o no muy más desde",
-    "fr": "le la les l un une des mon ma moi de du en à au chez avec sans sur par pour et ou a plus très",
-}
-
 _QUOTE_TAG = re.compile(r"\[(/?)quote(?:=[^\[\]]*)?\]|<(/?)blockquote\b[^<>]*>", re.I)
 _QUOTED_LINE = re.compile(r"^[ \t]*>")
 _SAYS = re.compile(r"^(?:On \S+ )?\S+ (?:wrote|said|schrieb|escribió|a écrit) ?:\s*$|^(?:Am|El|Le) .{0,40}:\s*$")
@@ -26,10 +17,8 @@ _SIGN_LINE = re.compile(r"^(?:~\S+~|\[size=1\].*\[/size\]|(?:sent from|gesendet
 _ITEM = re.compile(r"^\s*(?:[-*•–+]\s+|\(?\d{1,3}[.)]\s+|\(?[a-z][.)]\s+|\[[ xX]\]|<li\b|</?[uo]l>)", re.I)
 _TABLE = re.compile(r"\t|\|.*\||\S {2,}\S|</?t[drh]\b|</?table\b|^\+[-+]+\+$|^[-| :]+$|^[^,]*(?:,(?! )[^,]*)+$|^[^;]*(?:;(?! )[^;]+)+$|^[^:.!?]{1,40}: ?\S+(?: \S+){0,9}$")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_STOP = re.compile(r"[.!?…][\"'»)\]]* +(?=\S)")
-_FULL = re.compile(r"[.!?…][\"'»)\]]*$")
+_STOPS = frozenset(".!?…:;")
 _SYMBOL = re.compile(r"[^\w\s]|_")
-_END = re.compile(r"[.!?…:;][\"'»)\]]*$")
 
 
 def own_text(text: str) -> str:
@@ -74,32 +63,35 @@ def own_text(text: str) -> str:
     return "\n".join(keep).strip("\n")
 
 
+#: Evidence of a common word of which no labels speak.
+NEUTRAL = 1.0
+
+
 class Lexicon:
-    """Common words of the languages, and those of them that make clauses."""
+    """Common words of the languages, and how far each speaks for sentences.
 
-    def __init__(self, rows: Iterable[tuple[str | None, str | None]]):
+    ``weights`` maps (language, word) to that evidence; a word without one has NEUTRAL.
+    """
+
+    def __init__(self, rows: Iterable[tuple[str | None, str | None]], weights: Mapping[tuple[str, str], float] | None = None):
         common: dict[str, set[str]] = {}
         for lang, word in rows:
             if lang and word:
                 common.setdefault(lang, set()).add(word.casefold())
         self.langs = sorted(common)
-        #: word -> (languages it is common in, languages it makes clauses in)
-        self.marks: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-        for w in set().union(*common.values()) if common else ():
-            at = tuple(i for i, k in enumerate(self.langs) if w in common[k])
-            self.marks[w] = (at, tuple(i for i in at if len(w) > 1 and w not in NOMINAL.get(self.langs[i], "").split()))
-
-    def count(self, words: list[str]) -> tuple[list[int], list[int], int]:
-        """Common words and clause words of each language, and words common in any."""
+        weights = weights or {}
+        #: word -> ((language, evidence), ...)
+        self.marks = {w: tuple((i, weights.get((k, w), NEUTRAL)) for i, k in enumerate(self.langs) if w in common[k]) for w in set().union(*common.values())}
+
+    def count(self, words: Counter[str]) -> tuple[list[int], list[float]]:
+        """Common words and their evidence, by language."""
         get = self.marks.get
-        common, clause, some = [0] * len(self.langs), [0] * len(self.langs), 0
-        for (a, b), n in Counter(m for w in words if (m := get(w))).items():
-            some += n
-            for i in a:
+        common, speaks = [0] * len(self.langs), [0.0] * len(self.langs)
+        for w, n in words.items():
+            for i, x in get(w, ()):
                 common[i] += n
-            for i in b:
-                clause[i] += n
-        return common, clause, some
+                speaks[i] += n * x
+        return common, speaks
 
 
 def blocks(text: str) -> list[list[str]]:
@@ -113,41 +105,17 @@ def blocks(text: str) -> list[list[str]]:
     return [b for b in out if b]
 
 
-#: Least share of clause words in a block of sentences, and of common words in a
-#: block that has several sentences in a line.
-CLAUSE, COMMON = 0.045, 0.2
-#: Most letters of an average word.
-LETTERS = 14
-
-
 def _size(text: str) -> int:
     return len("".join(text.split()))
 
 
-def _words(text: str) -> list[str]:
-    return _WORD.findall(text.casefold())
-
+def _ends(line: str) -> bool:
+    """Whether a line ends in punctuation, closing quotes and brackets aside."""
+    return line.rstrip().rstrip("\"'»)]")[-1:] in _STOPS
 
-def _is_prose(kind: str, lines: int, ended: int, clean: str, words: list[str], clause: list[int], common: int) -> bool:
-    """Whether a run of lines of one kind is made of sentences.
 
-    Clause words tell; without them, text whose sentences don't end where its lines
-    do, or a single line of some length that ends like a sentence.
-    """
-    n = len(words)
-    if not n or sum(map(len, words)) > LETTERS * n:
-        return False
-    share = max(clause, default=0) / n
-    if kind != "text":
-        return share >= 2 * CLAUSE and n >= 6 * lines
-    if share >= CLAUSE:
-        return True
-    if n < 8 or common < COMMON * n:
-        return False
-    if n >= 8 * lines and _STOP.search(clean):
-        return True
-    last = bool(_FULL.search(clean.rstrip()))
-    return last and (lines == 1 or 2 * ended <= lines and n >= 5 * lines)
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text.casefold())
 
 
 def _runs(own: str) -> Iterable[tuple[str, list[str]]]:
@@ -165,66 +133,76 @@ def _runs(own: str) -> Iterable[tuple[str, list[str]]]:
         yield kind, run
 
 
-#: Columns of :func:`statistics` after the language.
-FIGURES = ("words", "mean_word", "symbol_share", "ended_share", "common_share", "clause_share", "prose_share", "own_chars")
-
-
-#: Columns of :func:`whole`.
-WHOLE = FIGURES[:5]
-
-
-def statistics(text: str | None, lex: Lexicon) -> tuple:
-    """(language, *FIGURES) of the own text.
-
-    Words, mean word length, shares of symbols among characters, of lines that end
-    in punctuation, of common words and of clause words among words, of characters
-    in sentences; own characters. White space isn't a character. The language is
-    that whose common words are the most frequent (ties by name). An empty or null
-    text has 0 everywhere and no language; shares over nothing are 0.
+#: Statistics of a passage. Evidence and common words are those of the language that has most; a mark is a character neither of a word nor blank.
+STATS = ("evidence", "common_share", "mean_word", "symbol_share", "ended_share", "digit_share", "words_a_line", "letter_share", "capital_share", "distinct_share")
+#: Figures of a text.
+FIGURES = ("words", "mean_word", "symbol_share", "ended_share", "common_share")
+
+
+def passage(lines: list[str], lex: Lexicon) -> tuple[int, Counter[str], list[int], list[float]]:
+    """(characters, words, common words by language, STATS) of a run of lines. White space isn't a character; shares over nothing are 0."""
+    raw = "\n".join(lines)
+    clean = plain(raw)
+    words = _WORD.findall(clean.casefold())
+    bag = Counter(words)
+    common, speaks = lex.count(bag)
+    n, size, k = len(words), _size(raw), len(lines)
+    digits = letters = 0
+    for w, c in bag.items():
+        if w[0].isdigit():
+            digits += c
+        else:
+            letters += c * len(w)
+    m = n or 1
+    stats = [
+        max(speaks, default=0.0) / m,
+        max(common, default=0) / m,
+        letters / m,
+        len(_SYMBOL.findall(raw)) / (size or 1),
+        sum(map(_ends, lines)) / k,
+        digits / m,
+        n / k,
+        letters / (size or 1),
+        sum(map(str.isupper, [w[0] for w in clean.split()])) / m,
+        len(bag) / m,
+    ]
+    return size, bag, common, stats
+
+
+def passages(text: str | None, lex: Lexicon, hint: str | None = None) -> tuple[str | None, int, list[float], list[Counter[str]]]:
+    """(language, characters, per passage its characters and STATS in one flat list, words of each) of the own text.
+
+    A passage is a run of lines of one shape between blank lines. The language is
+    that whose common words are the most frequent; among equals ``hint``, if it is
+    one of them, else the first by name; None if there are no common words and no hint.
     """
-    return _statistics(own_text(text) if text else "", lex)
-
-
-def whole(text: str | None, lex: Lexicon, own: tuple) -> tuple:
-    """WHOLE of the text with quoted text and signature; ``own`` is :func:`statistics` of it.
-
-    Common words are those of the language that has the most of them in the whole text.
+    flat, bags, total, all_ = [], [], [0] * len(lex.langs), 0
+    for _, lines in _runs(own_text(text)) if text else ():
+        size, bag, common, stats = passage(lines, lex)
+        flat += [size, *stats]
+        bags.append(bag)
+        all_ += size
+        total = [x + y for x, y in zip(total, common, strict=True)]
+    hint = (hint or "")[:2].lower()
+    best = max(range(len(total)), key=lambda i: (total[i], lex.langs[i] == hint, -i)) if total else None
+    lang = None if best is None or not (total[best] or lex.langs[best] == hint) else lex.langs[best]
+    return lang, all_, flat, bags
+
+
+def figures(text: str | None, lex: Lexicon) -> tuple:
+    """FIGURES of the whole text, quoted text and signature included; 0 everywhere for a null or empty one.
+
+    Common words are those of the language that has the most of them.
     """
-    if not text or _size(text) == own[-1]:
-        return own[1:6]
-    return _statistics(text, lex, judge=False)[1:6]
-
-
-def _statistics(own: str, lex: Lexicon, judge: bool = True) -> tuple:
-    n = letters = lines = ended = good = total = 0
-    common, clause = [0] * len(lex.langs), [0] * len(lex.langs)
-    for kind, run in _runs(own):
-        raw = "\n".join(run)
-        clean = plain(raw)
-        words = _words(clean)
-        a, b, some = lex.count(words)
-        size = _size(raw)
-        total += size
-        ends = sum(1 for x in run if _END.search(x.rstrip()))
-        if judge and _is_prose(kind, len(run), ends, clean, words, b, some):
-            good += size
+    n = letters = ended = lines = 0
+    common, size = [0] * len(lex.langs), _size(text) if text else 0
+    if not size:
+        return (0, 0.0, 0.0, 0.0, 0.0)
+    for _, run in _runs(text):
+        words = _words(plain("\n".join(run)))
         n += len(words)
         letters += sum(map(len, words))
-        common, clause = [x + y for x, y in zip(common, a, strict=True)], [x + y for x, y in zip(clause, b, strict=True)]
+        common = [x + y for x, y in zip(common, lex.count(Counter(words))[0], strict=True)]
         lines += len(run)
-        ended += ends
-    if not total:
-        return (None, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
-    best = max(range(len(common)), key=lambda i: (common[i], -i)) if common else 0
-    lang = lex.langs[best] if common and common[best] else None
-    return (
-        lang,
-        n,
-        letters / n if n else 0.0,
-        len(_SYMBOL.findall(own)) / total,
-        ended / lines,
-        common[best] / n if lang else 0.0,
-        max(clause) / n if lang else 0.0,
-        good / total,
-        total,
-    )
+        ended += sum(map(_ends, run))
+    return (n, letters / n if n else 0.0, len(_SYMBOL.findall(text)) / size, ended / lines, max(common, default=0) / n if n else 0.0)

@@ -62,13 +62,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_overlaps(spark, sf_dir).where(f"exact_run >= {leakage.SPAN}").select("item_id", "doc_id").distinct()
 
 
-def _scores(spark: SparkSession, sf_dir: str, with_whole: bool) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, with_figures: bool) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("withdrawn", F.col("author").isNull())
-    return quality.outlier_scores(quality.figures(docs, table(spark, sf_dir, "common_words"), keep=["withdrawn"], with_whole=with_whole))
+    return quality.outlier_scores(docs, table(spark, sf_dir, "common_words"), table(spark, sf_dir, "doc_labels"), keep=["withdrawn"], with_figures=with_figures)
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The figures of every document's text, the statistics of its own text and its outlier score."""
+    """The figures of every document's text, and the outlier score of its own text."""
     return _scores(spark, sf_dir, True)
 
 
@@ -76,11 +76,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.not_prose(_scores(spark, sf_dir, False)).where("not withdrawn").select("doc_id")
 
 
+def p8_length_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact ranks of each text length within the language as written, by the operator's range-partitioned sort."""
+    d = table(spark, sf_dir, "documents").select("lang", F.length("text").cast("double").alias("chars"), F.lit(1).alias("n"))
+    return quality.tails(d, ["lang"], "chars")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p4_session_counts, p4_merged, p4_weekend_and_weekday, p6_found, p6_containers, p6_fill, p7_found, p7_overlaps, p8_found, p8_scores,
+            p4_session_counts, p4_merged, p4_weekend_and_weekday, p6_found, p6_containers, p6_fill, p7_found, p7_overlaps, p8_found, p8_scores, p8_length_ranks,
         )
     }
 
@@ -117,6 +123,10 @@ UNION ALL SELECT 'project', NULL, project, count(DISTINCT session_id), 0.0::DOUB
 UNION ALL SELECT 'pair', day, project, count(DISTINCT session_id), 0.0::DOUBLE FROM r GROUP BY day, project""",
         "p7_found": f"""WITH d AS ({_runs_sql('documents', 'doc_id')}), i AS ({_runs_sql('eval_items', 'item_id')})
 SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (run)""",
+        "p8_length_ranks": """
+WITH d AS (SELECT lang, CAST(length(text) AS DOUBLE) AS chars FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)
+SELECT DISTINCT lang, chars, count(*) OVER (PARTITION BY lang, chars) AS n, count(*) OVER (PARTITION BY lang ORDER BY chars) AS at_most,
+  count(*) OVER (PARTITION BY lang ORDER BY chars DESC) AS at_least, count(*) OVER (PARTITION BY lang) AS total FROM d""",
         "p4_merged": "SELECT project, count(DISTINCT session_id) AS n_sessions FROM token_records WHERE session_id IS NOT NULL GROUP BY project",
         "p4_weekend_and_weekday": f"""
 WITH r AS (SELECT session_id, dayofweek({day}) IN (0, 6) AS w FROM token_records WHERE session_id IS NOT NULL)
