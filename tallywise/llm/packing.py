@@ -3,11 +3,12 @@
 The histogram of lengths, at most one count per length up to the capacity, is all
 that reaches the driver. There
 
-1. lengths above a small size are grouped into classes of about equal counts,
+1. lengths are grouped into classes of about equal volume; those of a small part
+   of the capacity are one class that counts in tokens, since they fill any room,
 2. the configuration LP (fewest containers that cover every class) is solved by
    multiplicative weights; a knapsack dynamic program prices configurations,
 3. the solution is rounded down to whole containers and given exact lengths,
-4. what is left, small lengths among them, is placed best-fit into the room.
+4. what the rounding left is placed best-fit into the room.
 
 Containers of equal content are one run with a multiplicity throughout, so the
 work on the driver depends on the capacity, not on the number of items.
@@ -15,6 +16,7 @@ work on the driver depends on the capacity, not on the number of items.
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,18 +29,23 @@ from pyspark.sql import functions as F
 from tallywise.plans.scale import join_checked, materialise
 
 CAPACITY = 2_048
-#: Classes of the LP, the share of the capacity up to which items are only filling,
-#: the accuracy of the weights, and the most iterations.
-CLASSES, SMALL, EPSILON, ITERATIONS = 24, 1 / 3, 0.1, 1_500
+#: Classes of the LP, and the share of the capacity up to which lengths are the class that counts in tokens.
+CLASSES, SMALL = 64, 1 / 8
+#: The gap between the solution and the dual bound at which the LP ends, steps of a round, step size, the most rounds, after which
+#: the gap reached is reported, and the rounds without gain after which steps are halved.
+GAP, STEPS, RATE, ROUNDS, PATIENCE, FLOOR = 0.005, 200, 20.0, 600, 60, 0.02
+#: Shares of the LP's containers that rounding keeps; the rest of the items is placed best-fit, and the share that needs the fewest
+#: containers is taken, the greatest among equals.
+PARTS = (1.0, 0.75, 0.5, 0.3)
 #: Rows of one length that are ranked in one group.
 RANK_ROWS = 200_000
 
 
-def price(sizes: np.ndarray, values: np.ndarray, capacity: int, most: np.ndarray) -> tuple[float, np.ndarray]:
+def price(sizes: np.ndarray, values: np.ndarray, capacity: int, most: np.ndarray, rest: float = 0.0) -> tuple[float, np.ndarray]:
     """Knapsack: (value, count of each size) of the dearest configuration.
 
     A size may be taken up to ``most`` times; powers of two of it are the items of
-    the dynamic program.
+    the dynamic program. Each token of room that is left is worth ``rest``.
     """
     best = np.zeros(capacity + 1)
     taken = []
@@ -56,6 +63,7 @@ def price(sizes: np.ndarray, values: np.ndarray, capacity: int, most: np.ndarray
                 best[w:][better] = new[better]
             left -= k
             m *= 2
+    best = best + rest * np.arange(capacity, -1, -1)
     out, at = np.zeros(len(sizes), np.int64), int(best.argmax())
     value = float(best[at])
     for j, k, w, better in reversed(taken):
@@ -75,36 +83,72 @@ class LP:
     lower: float
     iterations: int
 
+    @property
+    def gap(self) -> float:
+        return self.upper / self.lower - 1 if self.lower else 0.0
+
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, eps: float = EPSILON, iterations: int = ITERATIONS) -> LP:
-    """min sum x over configurations that cover ``counts``, by multiplicative weights.
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, fluid: int = 0, gap: float = GAP, rounds: int = ROUNDS) -> LP:
+    """min sum x over configurations that cover ``counts``, and ``fluid`` tokens in what room they leave, by multiplicative weights.
 
-    The dearest configuration under the weights gains as much as the class that it
-    covers fastest allows; weights fall by how much of its count a class got. Ends
-    when the scaled solution is within ``eps`` of the dual bound.
+    Classes and known configurations play a matrix game: weights of classes fall and
+    those of configurations rise by how well they are covered and cover, each step
+    corrected by the one before. After every round of steps the dearest configuration
+    under the classes' mean weights is priced; it gives the dual bound, and joins the
+    known ones. Ends when the solution is within ``gap`` of the bound.
     """
-    n = counts.astype(float)
-    y = 1 / n
-    times: dict[tuple, float] = defaultdict(float)
-    cover = np.zeros(len(n))
+    n = np.append(counts, fluid).astype(float) if fluid else counts.astype(float)
+    known: dict[bytes, np.ndarray] = {}
+
+    def add(c: np.ndarray) -> None:
+        room = capacity - int(c @ sizes)
+        known.setdefault(c.tobytes(), (np.append(c, min(room, fluid)) if fluid else c) / n)
+
+    for j in range(len(sizes)):
+        c = np.zeros(len(sizes), np.int64)
+        c[j] = min(capacity // sizes[j], counts[j])
+        add(c)
+    if fluid:
+        add(np.zeros(len(sizes), np.int64))
     lower, upper, t = 0.0, np.inf, 0
-    for t in range(1, iterations + 1):
-        value, c = price(sizes, y, capacity, counts)
-        lower = max(lower, float(y @ n) / value)
-        used = c > 0
-        step = float((n[used] / c[used]).min())
-        got = step * c / n
-        times[tuple(c.tolist())] += step
-        cover += got
-        y = y * np.exp(-eps * got)
-        if t % 20 == 0 and cover.min() > 0:
-            upper = sum(times.values()) / cover.min()
-            if upper <= lower * (1 + eps / 4):
-                break
-        y /= y.sum()
-    keys = list(times)
-    low = max(cover.min(), 1e-12)
-    return LP([np.array(k) for k in keys], np.array([times[k] for k in keys]) / low, upper, lower, t)
+    y, x = np.full(len(n), 1 / len(n)), np.full(len(known), 1 / len(known))
+    best: np.ndarray = x
+    rate, stuck, mark = RATE, 0, np.inf
+    for t in range(1, rounds + 1):
+        a = np.array(list(known.values())).T
+        # No weight dies out: each round begins with a little of everything.
+        x = np.append(x, np.full(a.shape[1] - len(x), 1 / a.shape[1]))
+        x, y = (1 - FLOOR) * x / x.sum() + FLOOR / len(x), (1 - FLOOR) * y + FLOOR / len(y)
+        top = rate / a.max()
+        got, worth = a @ x, a.T @ y
+        ys, xs = np.zeros(len(y)), np.zeros(len(x))
+        for _ in range(STEPS):
+            got0, worth0, got, worth = got, worth, a @ x, a.T @ y
+            y = y * np.exp(-top * (2 * got - got0))
+            y /= y.sum()
+            x = x * np.exp(top * (2 * worth - worth0))
+            x /= x.sum()
+            ys += y
+            xs += x
+        ys /= ys.sum()
+        xs /= xs.sum()
+        low = float((a @ xs).min())
+        if low > 0 and 1 / low < upper:
+            upper, best = 1 / low, xs / low
+        for w in (ys, y):
+            each = w / n
+            value, c = price(sizes, each[: len(sizes)], capacity, counts, each[-1] if fluid else 0.0)
+            lower = max(lower, 1 / value)
+            add(c)
+        if upper <= lower * (1 + gap):
+            break
+        # Shorter steps where long ones no longer help.
+        now = upper / lower
+        mark, stuck = (now, 0) if now < mark * (1 - 1e-3) else (mark, stuck + 1)
+        if stuck == PATIENCE:
+            rate, stuck = rate / 2, 0
+    keys = list(known)[: len(best)]
+    return LP([np.frombuffer(k, np.int64) for k in keys], best, upper, lower, t)
 
 
 @dataclass
@@ -113,7 +157,13 @@ class Packing:
 
     capacity: int
     runs: list[tuple[int, dict[int, int]]] = field(default_factory=list)
-    lower: float = 0.0
+    #: No packing has fewer containers: the greater of the LP's dual bound for these classes' least lengths and the volume.
+    bound: int = 0
+    #: Gap between the LP's solution and its dual bound, and whether it is as small as asked for.
+    gap: float = 0.0
+    converged: bool = True
+    #: The share of the LP's containers that was kept in rounding.
+    part: float = 0.0
 
     @property
     def containers(self) -> int:
@@ -130,41 +180,57 @@ class Packing:
         return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, small: float = SMALL, eps: float = EPSILON, iterations: int = ITERATIONS) -> Packing:
-    """Containers for ``hist[length]`` items of each length (1 to ``capacity``)."""
+def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, small: float = SMALL, gap: float = GAP, rounds: int = ROUNDS) -> Packing:
+    """Containers for ``hist[length]`` items of each length (1 to ``capacity``). All lengths are in the LP."""
     left = np.zeros(capacity + 1, np.int64)
     for size, k in hist.items():
         if not 0 < size <= capacity:
             raise ValueError(f"length {size} is outside 1..{capacity}")
         left[size] += k
+    volume = int(left @ np.arange(capacity + 1))
     room: dict[int, list] = defaultdict(list)  # free space -> runs [multiplicity, content]
     full = int(left[capacity])
     if full:
         room[0].append([full, {capacity: 1}])
         left[capacity] = 0
-    big = np.flatnonzero(left[: capacity + 1])
-    big = big[big > capacity * small]
-    bound = 0.0
+    has = np.flatnonzero(left)
+    big = has[has > capacity * small]
+    fluid = int(sum(int(s) * int(left[s]) for s in has if s <= capacity * small))
+    out = Packing(capacity)
     if len(big):
-        cum = np.cumsum(left[big])
+        cum = np.cumsum(left[big] * big)
         group = np.minimum((cum - 1) * classes // cum[-1], classes - 1)
         _, group = np.unique(group, return_inverse=True)
         members = [big[group == g] for g in range(group.max() + 1)]
-        top = np.array([m.max() for m in members])
-        lp = solve(top, np.array([left[m].sum() for m in members]), capacity, eps, iterations)
-        bound = lp.lower
-        for c in np.argsort(-lp.times, kind="stable"):
-            _realise(lp.configs[c], int(lp.times[c] + 1e-9), members, left, room, capacity)
-    _best_fit(left, room, capacity)
-    out = Packing(capacity, [(m, x) for s in sorted(room) for m, x in room[s] if m], bound)
+        counts = np.array([left[m].sum() for m in members])
+        lp = solve(np.array([m.max() for m in members]), counts, capacity, fluid, gap, rounds)
+        out.gap, out.converged = lp.gap, lp.gap <= gap
+        if not out.converged:
+            warnings.warn(f"the configuration program ended {lp.gap:.3f} from its bound after {lp.iterations} rounds", stacklevel=2)
+        # Lengths rounded down to the least of their class can't need more containers than the lengths themselves.
+        out.bound = full + int(np.ceil(_dual(np.array([m.min() for m in members]), counts, capacity, fluid) - 1e-6))
+    out.bound = max(out.bound, -(-volume // capacity))
+    for part in PARTS if len(big) else (1.0,):
+        rest, now = left.copy(), defaultdict(list, {s: [[m, dict(x)] for m, x in runs] for s, runs in room.items()})
+        for c in np.argsort(-lp.times, kind="stable") if len(big) else ():
+            _realise(lp.configs[c], int(lp.times[c] * part + 1e-9), members, rest, now, capacity)
+        _best_fit(rest, now, capacity)
+        runs = [(m, x) for s in sorted(now) for m, x in now[s] if m]
+        if not out.runs or sum(m for m, _ in runs) < out.containers:
+            out.runs, out.part = runs, part
     return out
 
 
+def _dual(sizes: np.ndarray, counts: np.ndarray, capacity: int, fluid: int) -> float:
+    """A lower bound of the LP for these sizes."""
+    return solve(sizes, counts, capacity, fluid).lower
+
+
 def _realise(config: np.ndarray, times: int, members: list[np.ndarray], left: np.ndarray, room: dict, capacity: int) -> None:
     """Up to ``times`` containers of a configuration, with lengths from its classes, as runs."""
     for j in np.flatnonzero(config):
         times = min(times, int(left[members[j]].sum()) // int(config[j]))
-    if times <= 0:
+    if times <= 0 or not config.any():
         return
     # Each place in the configuration is a list of lengths, one per container; runs end where any list changes.
     places = []

@@ -43,8 +43,18 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that take several containers."""
-    return p6_containers(spark, sf_dir).where(f"piece = 0 and n_tokens > {packing.CAPACITY}").select("doc_id")
+    """Documents that the packing laid into several containers: those that have a second placed piece."""
+    return p6_containers(spark, sf_dir).where("piece = 1 and container is not null").select("doc_id")
+
+
+def p6_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was laid where, checked: documents, those whose pieces don't add up to their tokens, containers over the capacity, and that none is empty."""
+    d = p6_containers(spark, sf_dir)
+    doc = d.groupBy("doc_id").agg(F.sum("size").alias("laid"), F.max("n_tokens").alias("n"), F.countDistinct("container").alias("in"), F.count(F.lit(1)).alias("pieces"))
+    doc = doc.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("laid") != F.col("n")) | (F.col("in") != F.col("pieces"))).alias("wrong"))
+    use = d.groupBy("container").agg(F.sum("size").alias("used"))
+    use = use.agg(F.count_if(F.col("used") > packing.CAPACITY).alias("over"), (F.max("container") + 1 - F.count(F.lit(1))).alias("unused"), F.count_if(F.col("used") == 0).alias("empty"))
+    return doc.join(F.broadcast(use))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +96,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p4_session_counts, p4_merged, p4_weekend_and_weekday, p6_found, p6_containers, p6_fill, p7_found, p7_overlaps, p8_found, p8_scores, p8_length_ranks,
+            p4_session_counts, p4_merged, p4_weekend_and_weekday, p6_found, p6_containers, p6_complete, p6_fill, p7_found, p7_overlaps, p8_found, p8_scores, p8_length_ranks,
         )
     }
 
@@ -123,6 +133,7 @@ UNION ALL SELECT 'project', NULL, project, count(DISTINCT session_id), 0.0::DOUB
 UNION ALL SELECT 'pair', day, project, count(DISTINCT session_id), 0.0::DOUBLE FROM r GROUP BY day, project""",
         "p7_found": f"""WITH d AS ({_runs_sql('documents', 'doc_id')}), i AS ({_runs_sql('eval_items', 'item_id')})
 SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (run)""",
+        "p6_complete": "SELECT count(*) AS documents, 0::BIGINT AS wrong, 0::BIGINT AS over, 0::BIGINT AS unused, 0::BIGINT AS empty FROM documents",
         "p8_length_ranks": """
 WITH d AS (SELECT lang, CAST(length(text) AS DOUBLE) AS chars FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)
 SELECT DISTINCT lang, chars, count(*) OVER (PARTITION BY lang, chars) AS n, count(*) OVER (PARTITION BY lang ORDER BY chars) AS at_most,

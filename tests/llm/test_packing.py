@@ -1,5 +1,5 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -49,12 +49,39 @@ def test_few_containers(times):
     assert p.containers <= room * 1.01 + 1 and len(p.runs) < 10_000
 
 
-def test_configurations_beat_greedy():
-    # Three of 683, 683, 682 fill a container; greedy placement alone would pair 1365 with nothing better.
+def greedy(hist, capacity=P.CAPACITY):
+    left, room = np.zeros(capacity + 1, np.int64), defaultdict(list)
+    for s, k in hist.items():
+        left[s] += k
+    P._best_fit(left, room, capacity)
+    return sum(m for runs in room.values() for m, _ in runs)
+
+
+@pytest.mark.parametrize("low,high,gain", [(0.2, 0.5, 0.03), (0.15, 0.45, 0.015), (0.35, 0.6, 0.0), (0.26, 0.36, 0.0)])
+def test_configurations_against_best_fit(low, high, gain):
+    rnd = random.Random(7)
+    hist = Counter(rnd.randint(int(low * P.CAPACITY), int(high * P.CAPACITY)) for _ in range(5000))
+    p = check(hist)
+    assert p.converged and p.gap <= P.GAP and p.bound <= p.containers <= greedy(hist) * (1 - gain)
+    if not gain:  # no packing is better by more than 1 in 200
+        assert p.containers <= p.bound * 1.006
+
+
+def test_few_sizes_and_none():
+    rnd = random.Random(7)
+    hist = Counter(rnd.choice([590, 731, 1000]) for _ in range(6000))
+    assert check(hist).containers < greedy(hist) * 0.95
     assert check({683: 200, 682: 100}).containers <= 103
     assert check({1025: 50}).containers == 50 and check({2048: 3, 1: 5}).containers == 4 and check({}).containers == 0
 
 
+def test_gap_is_reported():
+    rnd = random.Random(1)
+    with pytest.warns(UserWarning, match="from its bound"):
+        p = P.pack_histogram(Counter(rnd.randint(400, 1000) for _ in range(3000)), rounds=1)
+    assert not p.converged and p.gap > P.GAP
+
+
 def test_fill(spark, monkeypatch):
     monkeypatch.setattr(P, "RANK_ROWS", 50)
     rnd = random.Random(3)
