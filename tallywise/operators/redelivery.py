@@ -1,94 +1,212 @@
 """Messages delivered more than once: exactly one copy of each is kept.
 
-The identifiers of a message are permuted and split into a quotient and a
-complete remainder, as in a quotient hash table. The remainder holds everything
-else, so two entries are equal only if the identifiers are: there are no false
-matches at any size. A grouped aggregate over both stands for the table: a
-DataFrame with one row per identifier; tables of several batches merge.
+An exact quotient hash table. The two fixed-width identifiers of a message are
+permuted as one 128-bit number; some bits are the quotient, which names a shard, and
+all others the remainder, which the shard stores whole. Two entries are equal only
+if the identifiers are: there are no false matches at any size.
+
+1. While the input is read, each batch of rows keeps one copy per identifier and
+   gives up the others. An identifier that holds much of the data so sends one row a
+   batch.
+2. What is left is partitioned by quotient, in order of it, and inserted: the table of
+   the quotient at hand is all that a task holds, however many copies arrive.
+
+Each row is read once and comes out once, as kept or lost. Tables of batches merge.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.plans.scale import join_counted, materialise
-
-#: Bits of the permuted identifier that form the quotient.
-QUOTIENT_BITS = 12
+#: Bits of the permuted identifier that form the quotient: a shard holds about a millionth of all identifiers.
+QUOTIENT_BITS = 20
 ENTRY = ["quotient", "rem_hi", "rem_lo", "tag"]
-_FIXED = r"^[a-z]+_[0-9a-f]{16}$"
+_BLANK = " \t\n\r\f\x0b"
+_FIXED = "^[a-z]+_[0-9a-f]{16}$"
 _ROUNDS = 4
+_U = np.uint64
 
 
 @dataclass(frozen=True)
 class Delivery:
-    """Column names: identifiers, and what ranks copies (greatest first, null least)."""
+    """Column names: identifiers, and what ranks copies (greatest first, null least); ``row`` is a key."""
 
     ids: tuple[str, str] = ("message_id", "request_id")
     rank: tuple[str, ...] = ("output_tokens", "batch_id")
     row: str = "row_id"
 
+    @property
+    def best(self) -> list[str]:
+        """Names of the rank in a table, the row last."""
+        return [f"r{i}" for i in range(len(self.rank) + 1)]
+
 
 def _clean(c: str) -> Column:
-    x = F.lower(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""))
+    x = F.lower(F.btrim(F.col(c), F.lit(_BLANK)))
     return F.when(x != "", x)
 
 
-def _word(hex16: Column) -> Column:
-    half = lambda at: F.conv(F.substring(hex16, at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(-16), 32).bitwiseOR(half(-8))
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """A round function: 64 bits to 64 bits."""
+    x = (x ^ _U(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(29)
+    x *= _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(32))
 
 
-def with_entry(df: DataFrame, d: Delivery = Delivery()) -> DataFrame:
-    """The rows that have both identifiers, with ENTRY columns and the rank.
-
-    Identifiers of fixed width (letters, ``_``, 16 hex digits) become two 64-bit
-    words, permuted by a Feistel network, which is invertible whatever its round
-    function; quotient and remainder together are the whole 128 bits, and the tag
-    is the two prefixes. Any other identifier keeps its full text as tag, with
-    hashes in place of the words. Case and surrounding white space don't count;
-    rows with a null or blank identifier are left out. Only the named columns are
-    read.
+def _word(texts: pa.Array) -> np.ndarray:
+    """The last 16 characters, hexadecimal digits, as 64 bits."""
+    flat = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pc.utf8_slice_codeunits(texts, -16)), "")[0].as_py()
+    digits = np.frombuffer(flat.encode(), np.uint8).reshape(-1, 16).astype(_U)
+    digits = np.where(digits > 57, digits - _U(87), digits - _U(48))
+    return (digits << (_U(60) - np.arange(16, dtype=_U) * _U(4))).sum(1, dtype=_U)
+
+
+def _entries(b: pa.RecordBatch) -> pa.Table:
+    """ENTRY for two columns of cleaned identifiers, then the other columns.
+
+    Identifiers of fixed width (letters, ``_``, 16 hexadecimal digits) are permuted
+    whole by a Feistel network, which is invertible whatever its round function, and
+    the tag is the two prefixes. Any other identifier keeps its full text as tag; its
+    quotient and remainder are only hashes.
     """
+    a, c = b.column(0), b.column(1)
+    fixed = np.asarray(pc.and_(pc.match_substring_regex(a, _FIXED), pc.match_substring_regex(c, _FIXED)))
+    n = len(fixed)
+    left, right, tag = np.zeros(n, _U), np.zeros(n, _U), np.empty(n, object)
+    if fixed.any():
+        x, y = a.filter(pa.array(fixed)), c.filter(pa.array(fixed))
+        left[fixed], right[fixed] = _word(x), _word(y)
+        heads = pc.binary_join_element_wise(pc.utf8_slice_codeunits(x, 0, -16), pc.utf8_slice_codeunits(y, 0, -16), "\u0001").dictionary_encode()
+        tag[fixed] = np.array(heads.dictionary.to_pylist(), object)[heads.indices.to_numpy()]
+    for i in np.flatnonzero(~fixed).tolist():
+        s, t = a[i].as_py(), c[i].as_py()
+        tag[i] = f"{len(s)}\u0001{s}{t}"
+        raw = tag[i].encode()
+        left[i], right[i] = zlib.crc32(raw) << 32 | zlib.adler32(raw), zlib.crc32(raw[::-1])
+    for k in range(_ROUNDS):
+        left, right = right, left ^ _mixed(right, k)
+    quotient = (left >> _U(64 - QUOTIENT_BITS)).astype(np.int32)
+    high = (left & _U((1 << (64 - QUOTIENT_BITS)) - 1)).astype(np.int64)
+    cols = [pa.array(quotient), pa.array(high), pa.array(right.view(np.int64)), pa.array(tag, pa.string())]
+    return pa.table([*cols, *b.columns[2:]], names=[*ENTRY, *b.schema.names[2:]])
+
+
+def _one_each(t: pa.Table, best: Sequence[str]) -> tuple[pa.Table, np.ndarray]:
+    """``t`` in order of identifier and rank, and where the best copy of each is; its ``n`` is that of all copies. Repeated rows fall away."""
+    t = t.combine_chunks()
+    code = t.column("tag").combine_chunks().dictionary_encode().indices if t.num_rows else pa.array([], pa.int32())
+    keys = [("quotient", "ascending"), ("rem_hi", "ascending"), ("rem_lo", "ascending"), ("_code", "ascending"), *[(c, "descending") for c in best]]
+    t = t.append_column("_code", code)
+    t = t.take(pc.sort_indices(t, sort_keys=keys, null_placement="at_end"))
+    new = np.zeros(t.num_rows, bool)
+    for c in ("quotient", "rem_hi", "rem_lo", "_code"):
+        v = t.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    new[:1] = True
+    start = np.flatnonzero(new)
+    n = np.zeros(t.num_rows, np.int64)
+    if len(start):
+        n[start] = np.add.reduceat(t.column("n").to_numpy(), start)
+    winner = start[np.cumsum(new) - 1] if len(start) else start
+    row = t.column(best[-1]).combine_chunks()
+    again = np.asarray(pc.fill_null(pc.equal(row, row.take(pa.array(winner))), False)) & ~new if len(start) else new
+    t = t.drop_columns(["n", "_code"]).append_column("n", pa.array(n))
+    return t.filter(pa.array(~again)), new[~again]
+
+
+def _shape(df: DataFrame, d: Delivery) -> str:
+    kinds = [df.schema[c].dataType.simpleString() for c in [*d.rank, d.row]]
+    return "quotient int, rem_hi bigint, rem_lo bigint, tag string, " + ", ".join(f"{c} {k}" for c, k in zip(d.best, kinds, strict=True))
+
+
+def _identified(df: DataFrame, d: Delivery) -> DataFrame:
     a, b = F.col("_a"), F.col("_b")
-    x = df.select(_clean(d.ids[0]).alias("_a"), _clean(d.ids[1]).alias("_b"), *[F.col(c).alias(f"_r{i}") for i, c in enumerate([*d.rank, d.row])])
-    x = x.where(a.isNotNull() & b.isNotNull())
-    fixed = F.col("_fixed")
-    x = x.withColumn("_fixed", a.rlike(_FIXED) & b.rlike(_FIXED))
-    x = x.withColumn("_l", F.when(fixed, _word(a)).otherwise(F.xxhash64(a)))
-    x = x.withColumn("_h", F.when(fixed, _word(b)).otherwise(F.xxhash64(b)))
-    cut = lambda c: F.substring(c, F.lit(1), F.length(c) - 16)
-    x = x.withColumn("tag", F.when(fixed, F.concat_ws("\u0001", cut(a), cut(b))).otherwise(F.concat(F.length(a).cast("string"), F.lit("\u0001"), a, b)))
-    x = x.withColumn(
-        "_pair",
-        F.aggregate(
-            F.array(*[F.lit(k) for k in range(_ROUNDS)]),
-            F.struct(F.col("_l").alias("l"), F.col("_h").alias("r")),
-            lambda p, k: F.struct(p["r"].alias("l"), p["l"].bitwiseXOR(F.xxhash64(p["r"], k)).alias("r")),
-        ),
-    )
-    left, right = F.col("_pair.l"), F.col("_pair.r")
-    # coalesce() only tells the optimizer that keys are never null.
-    sure = lambda c, zero: F.coalesce(c, F.lit(zero))
-    return x.select(
-        sure(F.shiftrightunsigned(left, 64 - QUOTIENT_BITS).cast("int"), 0).alias("quotient"),
-        sure(left.bitwiseAND(F.lit((1 << (64 - QUOTIENT_BITS)) - 1)), 0).alias("rem_hi"),
-        sure(right, 0).alias("rem_lo"),
-        sure(F.col("tag"), "").alias("tag"),
-        F.struct(*[F.col(f"_r{i}").alias(f"r{i}") for i in range(len(d.rank) + 1)]).alias("best"),
-    )
-
-
-def insert(entries: DataFrame) -> DataFrame:
-    """The table: one row per identifier with its best copy and the number of copies.
-
-    Partial aggregation runs before the shuffle, so an identifier that holds much
-    of the data sends one row a task.
+    x = df.select(_clean(d.ids[0]).alias("_a"), _clean(d.ids[1]).alias("_b"), *[F.col(c).alias(k) for c, k in zip([*d.rank, d.row], d.best, strict=True)])
+    return x.where(a.isNotNull() & b.isNotNull())
+
+
+def with_entry(df: DataFrame, d: Delivery = Delivery()) -> DataFrame:
+    """The rows that have both identifiers, as ENTRY, rank (``r0`` ...; the row last).
+
+    Case and surrounding white space don't count; rows with a null or blank
+    identifier are left out. Only the named columns are read.
     """
-    return entries.groupBy(*ENTRY).agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _entries(b).to_batches()
+
+    return _identified(df, d).mapInArrow(run, _shape(df, d))
+
+
+def _first_pass(best: Sequence[str], entries: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One copy per identifier and batch; the others are marked lost and get a quotient of their own, so that many copies of one identifier don't meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            t = pa.Table.from_batches([b]) if entries else _entries(b)
+            t, won = _one_each(t.append_column("n", pa.array(np.ones(t.num_rows, np.int64))), best)
+            spread = (np.arange(seen, seen + t.num_rows) * 40503 & (1 << QUOTIENT_BITS) - 1).astype(np.int32)
+            seen += t.num_rows
+            quotient = np.where(won, t.column("quotient").to_numpy(), spread)
+            t = t.set_column(0, "quotient", pa.array(quotient, pa.int32())).append_column("lost", pa.array(~won))
+            yield from t.to_batches()
+
+    return run
+
+
+def _second_pass(best: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Inserts entries that come in order of quotient into the table of their quotient."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            yield from t.filter(t.column("lost")).to_batches()
+            t = t.filter(pc.invert(t.column("lost"))).drop_columns(["lost"])
+            t, won = _one_each(pa.concat_tables([table, t]) if table is not None else t, best)
+            yield from t.filter(pa.array(~won)).append_column("lost", pa.array(np.ones(int((~won).sum()), bool))).to_batches()
+            t = t.filter(pa.array(won))
+            open_ = np.asarray(t.column("quotient")) == (t.column("quotient")[-1].as_py() if t.num_rows else -1)
+            done, table = t.filter(pa.array(~open_)), t.filter(pa.array(open_))
+            yield from done.append_column("lost", pa.array(np.zeros(done.num_rows, bool))).to_batches()
+        if table is not None:
+            yield from table.append_column("lost", pa.array(np.zeros(table.num_rows, bool))).to_batches()
+
+    return run
+
+
+def _inserted(first: DataFrame, best: Sequence[str]) -> DataFrame:
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema.fields)
+    return first.repartition("quotient").sortWithinPartitions("quotient").mapInArrow(_second_pass(best), shape)
+
+
+def resolved(df: DataFrame, d: Delivery = Delivery()) -> DataFrame:
+    """Every row that has both identifiers once: ENTRY, rank, ``n`` (of the kept row: all copies) and ``lost``; rows repeated under one row id are one.
+
+    One pass over the input, one shuffle by quotient. ``quotient`` of a lost row means nothing.
+    """
+    first = _identified(df, d).mapInArrow(_first_pass(d.best, False), f"{_shape(df, d)}, n bigint, lost boolean")
+    return _inserted(first, d.best)
+
+
+def _table(r: DataFrame) -> DataFrame:
+    return r.where("not lost").drop("lost")
+
+
+def insert(df: DataFrame, d: Delivery = Delivery()) -> DataFrame:
+    """The table of ``df``: one row per identifier with the rank of its best copy and the number of copies."""
+    return _table(resolved(df, d))
 
 
 def merge(*tables: DataFrame) -> DataFrame:
@@ -96,7 +214,8 @@ def merge(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.groupBy(*ENTRY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    best = [c for c in out.columns if c not in (*ENTRY, "n")]
+    return _table(_inserted(out.withColumn("lost", F.lit(False)), best))
 
 
 def dropped(df: DataFrame, d: Delivery = Delivery(), table: DataFrame | None = None) -> DataFrame:
@@ -104,17 +223,13 @@ def dropped(df: DataFrame, d: Delivery = Delivery(), table: DataFrame | None = N
 
     The greatest rank stays (null is least), among equals the greatest row id. Rows
     without both identifiers are never dropped. Rows repeated under one row id
-    are one copy. ``table`` may be that of earlier batches merged with ``df``'s.
-
-    Only identifiers with copies take part in the second pass. Those that hold
-    more than a fixed share of all rows are few by construction and are broadcast,
-    the rest is joined by shuffle, so no task gets an unbounded group.
+    are one copy. With the ``table`` of earlier batches, copies kept there compete too,
+    and come out if ``df`` has a better one.
     """
-    entries = with_entry(df, d)
-    many = materialise((table if table is not None else insert(entries)).where("n >= 2").select(*ENTRY, F.col("best")[f"r{len(d.rank)}"].alias("_kept"), "n"))
-    mine = entries.select(*ENTRY, F.col("best")[f"r{len(d.rank)}"].alias("_row"))
-    out = join_counted(mine, many, ENTRY, df.count()).where(~F.col("_row").eqNullSafe(F.col("_kept")))
-    return out.select(F.col("_row").alias(d.row)).distinct()
+    r = resolved(df, d)
+    if table is not None:
+        r = r.where("lost").unionByName(_inserted(_table(r).unionByName(table).withColumn("lost", F.lit(False)), d.best))
+    return r.where("lost").select(F.col(d.best[-1]).alias(d.row)).distinct()
 
 
 def keep_one(df: DataFrame, d: Delivery = Delivery()) -> DataFrame:

@@ -31,8 +31,8 @@ def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and distinct messages by batch: the tables of even batches and of all others, null too, merged."""
     t = table(spark, sf_dir, "transcript_lines")
     even = F.coalesce(F.col("batch_id") % 2 == 0, F.lit(False))
-    both = redelivery.merge(*(redelivery.insert(redelivery.with_entry(t.where(c))) for c in (even, ~even)))
-    return both.groupBy(F.col("best.r1").alias("batch_id")).agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("delivered"))
+    both = redelivery.merge(*(redelivery.insert(t.where(c)) for c in (even, ~even)))
+    return both.groupBy(F.col("r1").alias("batch_id")).agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("delivered"))
 
 
 def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
