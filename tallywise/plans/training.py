@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywise.functions.instants import _zone_rows, months
 from tallywise.operators import instants, packed, redelivery, rescue
+from tallywise.plans.scale import materialise
 from tallywise.sources.tables import table
 
 
@@ -36,7 +37,11 @@ def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rescue.promote(rescue.ingest(table(spark, sf_dir, "raw_lines")))
+    """Lines read once and written with what they rescued; then names for the targets are looked up among the rescued paths."""
+    d = materialise(rescue.ingest(table(spark, sf_dir, "raw_lines").select("raw_id", "file_id", "body")))
+    known = rescue.approve(rescue.paths(d))
+    known = rescue.accept(rescue.candidates(d, table(spark, sf_dir, "log_files"), approved=known), known)
+    return rescue.promote(d, approved=known)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +49,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rescue.drift_report(shapes, table(spark, sf_dir, "log_files")).select("file_id", "field_name", "change_kind")
 
 
+def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that stand in for a watched field, from where they stand alone: no name is approved beforehand."""
+    d = materialise(rescue.ingest(table(spark, sf_dir, "raw_lines").select("raw_id", "file_id", "body")))
+    return rescue.candidates(d, table(spark, sf_dir, "log_files"))
+
+
 def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one consistent table: every readable line with the drifting fields under one name and type."""
     return _promoted(spark, sf_dir).where("_readable").select("raw_id", "file_id", *rescue.WATCHED)
@@ -61,7 +72,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_batches, p3_found, p3_table, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_batches, p3_found, p3_candidates, p3_table, p5_found)}
 
 
 _IDS = r"""
@@ -76,13 +87,17 @@ ranked AS (
 """
 
 
+#: Where the tables have the fields, for the SQL alone.
+_PLACES = {
+    "total_lines_added": "data.cost.total_lines_added data.cost.totalLinesAdded data.cost.lines_added data.cost.added_lines data.cost.loc_added data.diff.insertions data.lines.added",
+    "total_lines_removed": "data.cost.total_lines_removed data.cost.totalLinesRemoved data.cost.lines_removed data.cost.deleted_lines data.cost.loc_removed data.diff.deletions data.lines.removed",
+    "cache_creation_input_tokens": "message.usage.cache_creation_input_tokens message.usage.cacheCreationInputTokens message.usage.cache_creation_tokens message.usage.cache_write_tokens "
+    "message.usage.cache.creation message.cacheCreation.inputTokens",
+}
+
+
 def _paths() -> str:
-    rows = []
-    for t in rescue.LOG_LINES:
-        if t.name in rescue.WATCHED:
-            for i, p in enumerate((t.path, *t.approved)):
-                rows.append(f"('{t.name}', {i}, '$.{p}')")
-    return ", ".join(rows)
+    return ", ".join(f"('{n}', {i}, '$.{p}')" for n, places in _PLACES.items() for i, p in enumerate(places.split()))
 
 
 def _values() -> str:
@@ -209,6 +224,6 @@ SELECT * FROM changes WHERE change_kind IS NOT NULL""",
         "p3_table": f"""
 WITH {_values()},
 typed AS (SELECT raw_id, field_name, {number} AS x FROM vals)
-SELECT l.raw_id, l.file_id, {', '.join(one(n) for n in rescue.WATCHED)}
+SELECT l.raw_id, l.file_id, {', '.join(one(n) for n in _PLACES)}
 FROM lines l LEFT JOIN typed USING (raw_id) GROUP BY l.raw_id, l.file_id""",
     }

@@ -33,7 +33,8 @@ def test_replay_of_names_and_objects(spark):
         line(loc_added=4), line(lines_added={"count": 5}), json.dumps({"data": {"diff": {"insertions": 6.0}}}), line(added_lines="no number"),
         json.dumps({"message": {"usage": {"cache": {"creation": {"short_lived": 2, "long_lived": 3}}}}}),
     ]
-    p = S.promote(S.ingest(spark.createDataFrame(list(enumerate(bodies)), "raw_id long, body string"))).orderBy("raw_id").collect()
+    d = S.ingest(spark.createDataFrame(list(enumerate(bodies)), "raw_id long, body string"))
+    p = S.promote(d, approved=S.approve(S.paths(d))).orderBy("raw_id").collect()
     assert [r["total_lines_added"] for r in p] == [4, 5, 6, None, None] and p[4]["cache_creation_input_tokens"] == 5
     assert [r["total_lines_added__place"] for r in p[:4]] == ["data.cost.loc_added", "data.cost.lines_added", "data.diff.insertions", "data.cost.added_lines"]
     assert "data.cost.added_lines" in p[3]["_rescued"]
@@ -61,8 +62,51 @@ def test_report(spark):
                 want |= {(f, "renamed")} if a[0] != b[0] else set()
                 want |= {(f, "retyped")} if type(a[1]) is not type(b[1]) else set()
         before[s] = f
-    p = S.promote(S.ingest(spark.createDataFrame(raw, "raw_id long, file_id long, body string")))
+    d = S.ingest(spark.createDataFrame(raw, "raw_id long, file_id long, body string"))
+    p = S.promote(d, approved={"total_lines_added": ["data.cost.loc_added"]})
     got = S.drift_report(S.file_shapes(p), spark.createDataFrame(files, FILES))
     assert {(r["file_id"], r["change_kind"]) for r in got.collect()} == want
     none = S.drift_report(S.file_shapes(p.where("false")), spark.createDataFrame([], FILES))
     assert none.count() == 0
+
+
+def test_names_in_other_words(spark):
+    yes = "data.cost.linesAddedTotal data.diff.insertions data.lines.added data.cost.LOC_inserted data.cost.added-lines-count data.additions.lines".split()
+    no = "data.cost.total_files_added data.lines_viewed data.cost.total_lines_added data.cost.lines message.lines_added data.lines.added.count data.cost.lines_added_today".split()
+    added = next(t for t in S.LOG_LINES if t.name == "total_lines_added")
+    assert [p for p in yes + no if S.names_target(p, added)] == yes
+    assert S.words("a.totalLOCAdded_in-2 tage.Größe") == ["a", "total", "loc", "added", "in", "2", "tage", "gr", "öß", "e"]
+    lines = [{"data": {"lines": {"added": 1}}}, {"message": {"cacheCreation": {"inputTokens": {"short_lived": 1}}}}, {"data": {"diff": {"deletions": None}}}, {"data": {"cost": {"added_lines": {"count": 2}}}}]
+    d = S.ingest(spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "raw_id long, body string"))
+    known = S.approve(S.paths(d), more={"total_lines_removed": ["data.gone"]})
+    assert known["total_lines_added"] == ["data.cost.added_lines", "data.lines.added"] and known["total_lines_removed"] == ["data.gone"]
+    assert known["cache_creation_input_tokens"] == ["message.cacheCreation.inputTokens"] and S.approve(S.paths(d.where("false")))["ts"] == []
+
+
+def test_unknown_name_is_found_by_where_it_stands(spark):
+    rnd = random.Random(4)
+    t0 = datetime(2025, 1, 1)
+    raw, files = [], []
+    for f in range(200):
+        files.append((f, f"s{f % 10}", t0 + timedelta(hours=f)))
+        plus = f // 10 % 4 == 3
+        cost = {"plusminus": {"up": f}} if plus else {"total_lines_added": f}
+        if rnd.random() < 0.5:
+            cost["other"] = 4
+        raw += [(f, line(**cost, total_lines_removed=1)), (f, line())]
+    d = S.ingest(spark.createDataFrame(raw, "file_id long, body string"))
+    t = spark.createDataFrame(files, FILES)
+    known = S.approve(S.paths(d))
+    assert known["total_lines_added"] == []
+    known = S.accept(S.candidates(d, t, approved=known), known)
+    assert known["total_lines_added"] == ["data.cost.plusminus.up"] and known["total_lines_removed"] == []
+    got = S.drift_report(S.file_shapes(S.promote(d, approved=known)), t)
+    assert {r["change_kind"] for r in got.collect()} == {"renamed"}
+    assert S.candidates(d.where("false"), t).count() == 0 and S.candidates(d, t.where("false")).count() == 0
+
+
+def test_odd_lines():
+    read = lambda b: S.read_line(b, S.LOG_LINES, frozenset({"data", "data.cost"}))
+    assert read('{"a": NaN}') is None and read("[" * 100_000) is None and read('{"ts": 1') is None and read("") is None
+    typed, rescued = read('{"ts": 99999999999999999999, "a\\ud800": "\\ud800", "type": true, "ts2": 1e5}')
+    assert typed[0] is None and dict(rescued) == {"ts": ("integer", "99999999999999999999"), "a\\ud800": ("string", '"\\ud800"'), "type": ("boolean", "true"), "ts2": ("decimal", "100000.0")}
