@@ -101,23 +101,31 @@ def month_length(y: Column, m: Column) -> Column:
     return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).when(m.between(1, 12), 31).otherwise(0)
 
 
-def epoch_micros(number: Column) -> Column:
-    """Microseconds of a bare number, in the unit that puts it in EPOCH_YEARS; null in none.
-
-    The spans of s, ms, us and ns don't meet, so at most one unit fits. Exact: the
-    digits are shifted, never made a double.
-    """
+def _epoch_spans() -> list[tuple[str, int, Column, Column]]:
+    """(unit, digits to shift to the left, least and first too great number) of each unit in EPOCH_YEARS. The spans don't meet, so at most one unit fits."""
     low = int(datetime(EPOCH_YEARS[0], 1, 1, tzinfo=UTC).timestamp())
     high = int(datetime(EPOCH_YEARS[1] + 1, 1, 1, tzinfo=UTC).timestamp())
+    return [(u, up, *(F.lit(str(x * 10**digits)).cast("decimal(20,0)") for x in (low, high))) for u, digits, up in (("s", 0, 6), ("ms", 3, 3), ("us", 6, 0), ("ns", 9, -3))]
+
+
+def epoch_unit(number: Column) -> Column:
+    """``epoch s``, ``epoch ms``, ``epoch us`` or ``epoch ns`` of a bare number, or null."""
+    n = F.substring_index(number, ".", 1).try_cast("decimal(20,0)")
+    out = None
+    for unit, _, least, most in _epoch_spans():
+        out = (F.when if out is None else out.when)((n >= least) & (n < most), F.lit(f"epoch {unit}"))
+    return out
+
+
+def epoch_micros(number: Column) -> Column:
+    """Microseconds of a bare number, in the unit that puts it in EPOCH_YEARS; null in none. Exact: the digits are shifted, never made a double."""
     whole, frac = F.substring_index(number, ".", 1), F.when(F.contains(number, F.lit(".")), F.substring_index(number, ".", -1)).otherwise("")
     n = whole.try_cast("decimal(20,0)")
     out = None
-    for digits, up in ((0, 6), (3, 3), (6, 0), (9, -3)):
-        least, most = (F.lit(str(x * 10**digits)).cast("decimal(20,0)") for x in (low, high))
-        fits = (n >= least) & (n < most)
+    for _, up, least, most in _epoch_spans():
         if up > 0:
             v = F.concat(whole, F.substring(F.rpad(frac, up, "0"), 1, up)).try_cast("long")
         else:
             v = F.substring(whole, F.lit(1), F.length(whole) + up).try_cast("long")
-        out = (F.when if out is None else out.when)(fits, v)
+        out = (F.when if out is None else out.when)((n >= least) & (n < most), v)
     return out

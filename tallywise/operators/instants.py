@@ -1,8 +1,11 @@
 """Mixed timestamp formats and zones, normalised to one UTC instant.
 
-Every value is parsed under each format that fits. Per source, expectation-
-maximisation over the mixture of formats weighs the readings of values that fit
-several; the posterior chooses, and what stays undecided is marked so.
+Every value is parsed under each format that fits, which gives it readings: month or
+day first, a unit of an epoch, the first or second of a repeated wall time. Per
+source, expectation-maximisation over the mixture of formats weighs them. What is
+registered of a source makes readings against it unlikely, not impossible; that a value
+is none of its formats is a component too. The posterior chooses, and what stays
+undecided is marked so.
 """
 
 from __future__ import annotations
@@ -14,13 +17,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.functions.instants import canonical, days, epoch_micros, month_length, months, tidy, zones
+from tallywise.functions.instants import canonical, days, epoch_micros, epoch_unit, month_length, months, tidy, zones
 from tallywise.plans.scale import join_checked, materialise, small_methods
 
 #: A posterior from which a reading is chosen.
 SURE = 0.95
-ITERATIONS = 50
+#: Likelihoods of a value under a format that the registered order speaks against, and under none of the formats.
+AGAINST, NONE = 1e-6, 1e-4
+#: Counts that every component has beforehand: two clear values decide for a source's unclear ones, one doesn't.
+BEFORE = 0.1
+#: Most steps of the expectation-maximisation and the change at which it ends.
+STEPS, CLOSE = 5_000, 1e-10
 _DAY_S = 86_400
+_READINGS = "array<struct<format:string,micros:bigint,status:string>>"
 
 
 def _wall(part, y: Column, m: Column, d: Column) -> Column:
@@ -51,13 +60,14 @@ def _local(utc: Column, zone: str) -> Column:
 
 
 def readings(values: DataFrame, sources: DataFrame) -> DataFrame:
-    """(row, field, source, a, b, signature): the readings of each value.
+    """(row, field, source, readings, signature): the readings of each value that fits a format.
 
     ``values`` has row, field, source, text; ``sources`` has source, zone, order.
-    ``a`` and ``b`` are (format, micros, status); ``b`` is null unless the value is
-    all digits with slashes, which may be month or day first. ``status`` is instant,
-    skipped (a wall time that a zone jumps over), repeated (one it has twice),
-    impossible or unknown_zone. Values that fit no format give no row.
+    Readings are an array of (format, micros, status); ``status`` is instant, skipped
+    (a wall time that a zone jumps over), repeated (one it has twice: two readings) or
+    unknown_zone; impossible ones aren't there. The signature lists the formats, with
+    ``!`` where the registered order speaks against one. Values that fit no format
+    give no row.
     """
     spark = values.sparkSession
     z = zones(spark)
@@ -93,6 +103,7 @@ def readings(values: DataFrame, sources: DataFrame) -> DataFrame:
             "_own": F.when(part(10) != "", part(10)),
             "_fmt": kind,
             "_num": F.when(~clock, epoch_micros(part(1))),
+            "_fmt_unit": F.when(~clock, epoch_unit(part(1))),
         }
     ).drop("_p", "_y", "_m", "_d", "_abbreviations")
     # A zone in brackets counts where no offset is written.
@@ -103,64 +114,84 @@ def readings(values: DataFrame, sources: DataFrame) -> DataFrame:
     local = ~F.col("_says") & (F.col("_z") != "UTC")
     d = d.withColumns({f"_u{k}": F.when(local, _utc(f"_w{k}", "_z")) for k in "ab"})
 
-    def reading(k: str) -> Column:
-        w, u = F.col(f"_w{k}"), F.col(f"_u{k}")
-        # to_utc_timestamp() takes the earlier of two instants; the later one follows by the length of the jump.
-        twice = F.lit(False)
+    # to_utc_timestamp() takes one of the two instants of a repeated wall time; the other is off by the length of the jump.
+    for k in "ab":
+        w, u, other = F.col(f"_w{k}"), F.col(f"_u{k}"), None
         for minutes in (60, 30, 120):
-            twice = twice | (_local(u + minutes * 60_000_000, "_z") == w) | (_local(u - minutes * 60_000_000, "_z") == w)
-        status = (
-            F.when(w.isNull(), "impossible")
-            .when(F.col("_says"), F.when(F.col("_off").isNull(), "unknown_zone").otherwise("instant"))
-            .when(~F.col("_z_ok"), "unknown_zone")
-            .when(u.isNull(), "instant")
-            .when(_local(u, "_z") != w, "skipped")
-            .when(twice, "repeated")
-            .otherwise("instant")
-        )
-        micros = F.when(F.col("_says"), w - F.col("_off").cast("long") * 1_000_000).otherwise(F.coalesce(u, w))
+            for v in (u + minutes * 60_000_000, u - minutes * 60_000_000):
+                other = (F.when if other is None else other.when)(_local(v, "_z") == w, v)
+        d = d.withColumn(f"_o{k}", F.when(u.isNotNull(), other))
+
+    def reading(k: str) -> Column:
+        w, u, o = F.col(f"_w{k}"), F.col(f"_u{k}"), F.col(f"_o{k}")
         fmt = F.when(F.col("_fmt") == "numeric", F.lit("mdy" if k == "a" else "dmy")).otherwise(F.col("_fmt"))
-        return F.struct(fmt.alias("format"), micros.alias("micros"), status.alias("status"))
+        one = lambda micros, status, end="": F.struct(F.concat(fmt, F.lit(end)).alias("format"), micros.alias("micros"), F.lit(status).alias("status"))
+        return (
+            F.when(w.isNull(), F.array().cast(_READINGS))
+            .when(F.col("_says") & F.col("_off").isNotNull(), F.array(one(w - F.col("_off").cast("long") * 1_000_000, "instant")))
+            .when(F.col("_says") | ~F.col("_z_ok"), F.array(one(w, "unknown_zone")))
+            .when(u.isNull(), F.array(one(w, "instant")))
+            .when(_local(u, "_z") != w, F.array(one(u, "skipped")))
+            .when(o.isNotNull(), F.array(one(F.least(u, o), "repeated", " first"), one(F.greatest(u, o), "repeated", " second")))
+            .otherwise(F.array(one(u, "instant")))
+        )
+
+    epoch = F.when(F.col("_num").isNotNull(), F.array(F.struct(F.col("_fmt_unit").alias("format"), F.col("_num").alias("micros"), F.lit("instant").alias("status")))).otherwise(F.array().cast(_READINGS))
+    both = F.when(F.col("_fmt") == "numeric", F.concat(reading("a"), reading("b"))).otherwise(reading("a"))
+    d = d.withColumn("readings", F.when(F.col("_fmt") == "epoch", epoch).otherwise(both))
+    order = F.coalesce("_order", F.lit(""))
+    against = lambda r: order.isin("mdy", "dmy") & F.substring(r["format"], 1, 3).isin("mdy", "dmy") & (F.substring(r["format"], 1, 3) != order)
+    sign = F.array_join(F.transform("readings", lambda r: F.concat(r["format"], F.when(against(r), "!").otherwise(""))), ",")
+    return d.select("row", "field", "source", "readings", sign.alias("signature"))
 
-    epoch = F.struct(F.lit("epoch").alias("format"), F.col("_num").alias("micros"), F.when(F.col("_num").isNull(), "impossible").otherwise("instant").alias("status"))
-    d = d.withColumn("a", F.when(F.col("_fmt") == "epoch", epoch).otherwise(reading("a")))
-    d = d.withColumn("b", F.when(F.col("_fmt") == "numeric", reading("b")))
-    # Readings that the source's registered order excludes have no likelihood.
-    can_a = (F.col("a.status") != "impossible") & ~((F.col("_fmt") == "numeric") & (F.coalesce("_order", F.lit("")) == "dmy"))
-    can_b = F.col("b").isNotNull() & (F.col("b.status") != "impossible") & ~(F.coalesce("_order", F.lit("")) == "mdy")
-    sign = F.concat_ws(",", F.when(can_a, F.col("a.format")), F.when(can_b, F.col("b.format")))
-    return d.select("row", "field", "source", "a", "b", sign.alias("signature"))
+
+def _step(pi: np.ndarray, like: np.ndarray, n: np.ndarray) -> np.ndarray:
+    r = like * pi
+    r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
+    new = (n[:, None] * r).sum(0) + BEFORE
+    return new / new.sum()
 
 
-def mixture(counts: pd.DataFrame, iterations: int = ITERATIONS) -> pd.DataFrame:
-    """EM of one source: rows (source, signature, n) to (source, signature, format, posterior).
+def mixture(counts: pd.DataFrame, steps: int = STEPS) -> pd.DataFrame:
+    """EM of one source: rows (source, signature, n) to (source, signature, format, posterior, converged).
 
-    A signature lists the formats under which a value is valid; each has the same
-    likelihood, so the expectation of a format is its mixture weight among them.
-    A half count of every format of the source keeps weights above zero.
+    A value has likelihood 1 under each format of its signature, AGAINST where the
+    registered order speaks against it, and NONE under the component of no format
+    (``format`` null). Steps are extrapolated where they shrink evenly, so that a few
+    clear values decide for any number of unclear ones; ``converged`` is false if
+    STEPS weren't enough.
     """
     sigs = [s.split(",") if s else [] for s in counts["signature"]]
-    names = sorted({f for s in sigs for f in s})
-    fit = np.array([[f in s for f in names] for s in sigs], dtype=float).reshape(len(sigs), len(names))
+    names = sorted({f.rstrip("!") for s in sigs for f in s})
+    like = np.full((len(sigs), len(names) + 1), 0.0)
+    like[:, -1] = NONE
+    for i, s in enumerate(sigs):
+        for f in s:
+            like[i, names.index(f.rstrip("!"))] = AGAINST if f.endswith("!") else 1.0
     n = counts["n"].to_numpy(dtype=float)
-    pi = np.full(len(names), 1 / max(1, len(names)))
-    for _ in range(iterations):
-        r = fit * pi
-        r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-        new = (n[:, None] * r).sum(0) + 0.5
-        new /= new.sum() if len(names) else 1
-        if np.abs(new - pi).max(initial=0) < 1e-9:
+    pi, done = np.full(len(names) + 1, 1 / (len(names) + 1)), False
+    for _ in range(steps):
+        one = _step(pi, like, n)
+        two = _step(one, like, n)
+        done = bool(np.abs(two - one).max() < CLOSE)
+        d1, d2 = one - pi, (two - one) - (one - pi)
+        far = two
+        if not done and (d2 @ d2) > 0:
+            a = -np.sqrt((d1 @ d1) / (d2 @ d2))
+            far = pi - 2 * min(a, -1.0) * d1 + min(a, -1.0) ** 2 * d2
+        pi = far / far.sum() if (far > 0).all() else two
+        if done:
             break
-        pi = new
-    r = fit * pi
+    r = like * pi
     r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-    best = r.argmax(1) if len(names) else np.zeros(len(sigs), dtype=int)
+    best = r.argmax(1)
     return pd.DataFrame(
         {
             "source": counts["source"].to_numpy(),
             "signature": counts["signature"].to_numpy(),
-            "format": [names[b] if s else None for b, s in zip(best, sigs, strict=True)],
-            "posterior": [float(r[i, b]) if sigs[i] else 0.0 for i, b in enumerate(best)],
+            "format": [names[b] if b < len(names) else None for b in best],
+            "posterior": r[np.arange(len(best)), best],
+            "converged": done,
         }
     )
 
@@ -168,14 +199,14 @@ def mixture(counts: pd.DataFrame, iterations: int = ITERATIONS) -> pd.DataFrame:
 def normalise(
     df: DataFrame, row: str, fields: Sequence[str], source: str, sources: DataFrame, source_key: str, zone: str, order: str, sure: float = SURE
 ) -> DataFrame:
-    """(row, field_name, instant_us, format, posterior, status), one row per value that fits a format.
+    """(row, field_name, instant_us, format, posterior, converged, status), one row per value that fits a format.
 
     ``status`` is ``instant`` where the value names exactly one instant; otherwise
-    skipped, repeated, impossible, unknown_zone or ambiguous (no reading reaches
-    ``sure``), and ``instant_us`` is null. Null, empty and unreadable values, and
-    those of only a date or a time of day, give no row. A source without zone is
-    taken as UTC, one that isn't registered too; without a registered order the
-    mixture decides. Rows may repeat; each is read by itself.
+    skipped, repeated, impossible (likely no time at all), unknown_zone or ambiguous
+    (no reading reaches ``sure``), and ``instant_us`` is null. Null, empty and
+    unreadable values, and those of only a date or a time of day, give no row. A source
+    without zone is taken as UTC, one that isn't registered too; without a registered
+    order its other values decide. Rows may repeat; each is read by itself.
 
     Parsed values are written once; their counts by source and signature, which
     are few, give the mixtures.
@@ -186,20 +217,21 @@ def normalise(
     with small_methods(df.sparkSession):
         d = materialise(readings(long, reg))
     counts = d.groupBy("source", "signature").agg(F.count(F.lit(1)).alias("n"))
-    picked = counts.groupBy("source").applyInPandas(lambda c: mixture(c), "source string, signature string, format string, posterior double")
+    picked = counts.groupBy("source").applyInPandas(lambda c: mixture(c), "source string, signature string, format string, posterior double, converged boolean")
     # Null sources are one source of their own.
     null = "\u0000"
     d = d.withColumn("source", F.coalesce("source", F.lit(null)))
     picked = materialise(picked.withColumn("source", F.coalesce("source", F.lit(null))))
     d = join_checked(d, picked, ["source", "signature"])
-    chosen = F.when(F.col("format") == F.col("b.format"), F.col("b")).otherwise(F.col("a"))
-    status = F.when(F.col("format").isNull(), "impossible").when(F.col("posterior") < sure, "ambiguous").otherwise(chosen["status"])
-    d = d.withColumn("status", status)
+    d = d.withColumn("_r", F.try_element_at(F.filter("readings", lambda r: r["format"] == F.col("format")), F.lit(1)))
+    sure_enough = (F.col("posterior") >= sure) | (F.col("_r.status") == "repeated")
+    d = d.withColumn("status", F.when(F.col("_r").isNull(), "impossible").when(sure_enough, F.col("_r.status")).otherwise("ambiguous"))
     return d.select(
         F.col("row").alias(row),
         F.col("field").alias("field_name"),
-        F.when(F.col("status") == "instant", chosen["micros"]).alias("instant_us"),
+        F.when(F.col("status") == "instant", F.col("_r.micros")).alias("instant_us"),
         "format",
         "posterior",
+        "converged",
         "status",
     )

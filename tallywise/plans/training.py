@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo, available_timezones
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.functions.instants import _zone_rows, months
 from tallywise.operators import instants, packed, redelivery, rescue
 from tallywise.plans.scale import materialise
 from tallywise.sources.tables import table
@@ -60,19 +62,29 @@ def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _promoted(spark, sf_dir).where("_readable").select("raw_id", "file_id", *rescue.WATCHED)
 
 
-def p5_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return instants.normalise(
-        table(spark, sf_dir, "transcript_lines"), "row_id", ["line_timestamp", "created_at", "updated_at"], "client_id",
-        table(spark, sf_dir, "clients"), "client_id", "zone_name", "date_order",
-    )
+def _normalised(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    clients = table(spark, sf_dir, "clients")
+    if not ordered:
+        clients = clients.withColumn("date_order", F.lit(None).cast("string"))
+    return instants.normalise(table(spark, sf_dir, "transcript_lines"), "row_id", ["line_timestamp", "created_at", "updated_at"], "client_id", clients, "client_id", "zone_name", "date_order")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_normalised(spark, sf_dir).where("status = 'instant'").select("row_id", "field_name", "instant_us")
+    return _normalised(spark, sf_dir).where("status = 'instant'").select("row_id", "field_name", "instant_us")
+
+
+def p5_order_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How values come out if no client's date order were known, by the status they have with it."""
+    key = ["row_id", "field_name"]
+    d = _normalised(spark, sf_dir).select(*key, F.col("status").alias("with_order"), F.col("instant_us").alias("_a"))
+    e = _normalised(spark, sf_dir, ordered=False).select(*key, F.col("status").alias("without_order"), F.col("instant_us").alias("_b"), "format")
+    same = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col("_a") == F.col("_b"))
+    numeric = F.coalesce(F.substring("format", 1, 3).isin("mdy", "dmy"), F.lit(False))
+    return d.join(e, key).groupBy("with_order", "without_order", numeric.alias("slashes"), same.alias("same_instant")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_batches, p3_found, p3_candidates, p3_table, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_batches, p3_found, p3_candidates, p3_table, p5_found, p5_order_withheld)}
 
 
 _IDS = r"""
@@ -131,6 +143,26 @@ named AS (
 vals AS (SELECT record_id, len(n) AS k, unnest(generate_series(1, len(n))) AS pos, unnest(n) AS tool_name FROM named)"""
 
 
+#: Month names as they stand in the tables, upper case, by month; for the SQL alone.
+_MONTH_NAMES = (
+    "JANUARY JAN JANUAR ENERO ENE JANVIER JANV; FEBRUARY FEB FEBRUAR FEBRERO FÉVRIER FÉVR FÉV; MARCH MAR MÄRZ MÄR MRZ MARZO MARS; APRIL APR ABRIL ABR AVRIL AVR; MAY MAI MAYO;"
+    "JUNE JUN JUNI JUNIO JUIN; JULY JUL JULI JULIO JUILLET JUIL; AUGUST AUG AGOSTO AGO AOÛT AOÛ; SEPTEMBER SEP SEPT SEPTIEMBRE SEPTEMBRE; OCTOBER OCT OKTOBER OKT OCTUBRE OCTOBRE;"
+    "NOVEMBER NOV NOVIEMBRE NOVEMBRE; DECEMBER DEC DEZEMBER DEZ DICIEMBRE DIC DÉCEMBRE DÉC"
+)
+
+
+def _abbreviations() -> set[tuple[str, str, int]]:
+    """(zone, abbreviation, seconds east) at the noon of each day of 2025 and 2026; for the SQL alone."""
+    noon, out = datetime(2025, 1, 1, 12, tzinfo=UTC), set()
+    for zone in available_timezones():
+        z = ZoneInfo(zone)
+        for day in range(730):
+            t = (noon + timedelta(days=day)).astimezone(z)
+            if t.tzname().isalpha():
+                out.add((zone, t.tzname().upper(), int(t.utcoffset().total_seconds())))
+    return out
+
+
 def _instants_sql() -> str:
     """p5_found: one canonical text per value, then wall time, zone and instant; RE2 has nine groups."""
     zone = r"(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Z]{2,5})?(?:\[[A-Z0-9_+/-]+\])?"
@@ -147,8 +179,8 @@ def _instants_sql() -> str:
         ("w", rf"^{day}{word} +(\d{{1,2}}) {time} {zone} (\d{{4}})$", "912345678"),
     )
     canon = " ".join(f"WHEN regexp_matches(s, '{p}') THEN regexp_replace(s, '{p}', '{k}" + "".join(f"|\\{g}" for g in groups) + "')" for k, p, groups in forms)
-    known = ", ".join(f"('{z}', '{a}', {o})" for z, names in _zone_rows() for a, o in sorted(names.items()))
-    names = ", ".join(f"('{k.upper()}', {m})" for k, m in sorted(months().items()))
+    known = ", ".join(f"('{z}', '{a}', {o})" for z, a, o in sorted(_abbreviations()))
+    names = ", ".join(f"('{k}', {m})" for m, ks in enumerate(_MONTH_NAMES.split(";"), 1) for k in ks.split())
     spans = ((1, 6), (1000, 3), (10**6, 0), (10**9, -3))
     low, high = 1735689600, 1798761600
     unit = " ".join(

@@ -1,8 +1,11 @@
+import random
 from datetime import UTC, datetime
 
+import numpy as np
 import pandas as pd
+import pytest
 
-from tallywise.operators.instants import mixture, normalise
+from tallywise.operators.instants import AGAINST, NONE, _step, mixture, normalise
 
 CLIENTS = [("ny", "America/New_York", "mdy"), ("be", "Europe/Berlin", "dmy"), ("no", None, "dmy"), ("off", "+05:45", "dmy"), ("bad", "Mars/Base", "dmy"), ("free", "UTC", None)]
 
@@ -74,8 +77,35 @@ def test_mixture_decides(spark):
 
 
 def test_mixture_numbers():
-    out = mixture(pd.DataFrame({"source": ["s"] * 3, "signature": ["mdy,dmy", "mdy", ""], "n": [10, 90, 3]}))
-    assert list(out["format"]) == ["mdy", "mdy", None] and out["posterior"][0] > 0.98 and out["posterior"][2] == 0
+    def out(*rows):
+        return mixture(pd.DataFrame({"source": ["s"] * len(rows), "signature": [r[0] for r in rows], "n": [r[1] for r in rows]}))
+
+    a = out(("mdy,dmy", 10), ("mdy", 90), ("", 3))
+    assert list(a["format"]) == ["mdy", "mdy", None] and a["posterior"][0] > 0.98 and a["converged"].all()
+    # Few clear values decide for many unclear ones; none leaves them open, and one isn't enough.
+    for n in (20, 10**3, 10**7):
+        a = out(("mdy,dmy", n), ("dmy", 3))
+        assert a["format"][0] == "dmy" and a["posterior"][0] == pytest.approx(3.1 / 3.2, abs=1e-4) and a["converged"].all()
+    assert out(("mdy,dmy", 20), ("dmy", 1))["posterior"][0] < 0.95 and out(("mdy,dmy", 50))["posterior"][0] == pytest.approx(0.5, abs=1e-4)
+    # The registered order outweighs a source's other values; what only it speaks against is no time.
+    a = out(("mdy,dmy!", 5), ("dmy!", 50), ("ymd", 9))
+    assert list(a["format"]) == ["mdy", None, "ymd"] and a["posterior"][0] > 0.99
+    a = out(("ymd first,ymd second", 5), ("ymd", 9))
+    assert a["posterior"][0] == pytest.approx(0.5, abs=1e-4)
+    assert not mixture(pd.DataFrame({"source": ["s"], "signature": ["a,b"], "n": [5]}), steps=0)["converged"].any()
+
+
+def test_mixture_without_extrapolation():
+    """The same fixed point as plain steps."""
+    rnd = random.Random(3)
+    for _ in range(20):
+        c = pd.DataFrame([("s", x, rnd.randint(1, 60)) for x in ("mdy,dmy", "mdy", "dmy", "ymd", "mdy,dmy!", "ymd first,ymd second")], columns=["source", "signature", "n"])
+        like = np.array([[1, 1, 0, 0, 0], [0, 1, 0, 0, 0], [1, 0, 0, 0, 0], [0, 0, 1, 0, 0], [AGAINST, 1, 0, 0, 0], [0, 0, 0, 1, 1]], float)
+        like, pi = np.c_[like, np.full(6, NONE)], np.full(6, 1 / 6)
+        for _ in range(20_000):
+            pi = _step(pi, like, c["n"].to_numpy(float))
+        r = like * pi
+        assert mixture(c)["posterior"].to_numpy() == pytest.approx((r / r.sum(1, keepdims=True)).max(1), abs=1e-4)
 
 
 def test_empty(spark):
