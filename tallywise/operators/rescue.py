@@ -14,7 +14,9 @@ import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +93,9 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
+_DECODER = json.JSONDecoder(parse_constant=_refuse)
+
+
 def _plain(text: str) -> str:
     """Characters that UTF-8 doesn't have as escapes."""
     return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
@@ -104,20 +109,31 @@ def _fits(x: object, kind: str) -> bool:
     return isinstance(x, str) and _plain(x) == x
 
 
-def read_line(body: str | None, targets: Sequence[Target], boxes: frozenset[str]) -> tuple[list, list] | None:
-    """(target values, rescued (path, (kind, json))) of a line; None if it isn't a JSON object.
+def _json(x: object) -> str:
+    if type(x) is int:
+        return str(x)
+    return "null" if x is None else _plain(json.dumps(x, separators=(",", ":"), ensure_ascii=False))
+
+
+@cache
+def _places(targets: tuple[Target, ...]) -> dict[str, int]:
+    return {t.path: i for i, t in enumerate(targets)}
+
+
+def read_line(body: str | None, targets: tuple[Target, ...], boxes: frozenset[str]) -> tuple[list, dict] | None:
+    """(target values, rescued path -> (kind, json)) of a line; None if it isn't a JSON object.
 
     An unknown object is rescued whole and, besides, by every path below it.
     """
     try:
-        line = json.loads(body, parse_constant=_refuse) if body else None
+        line = _DECODER.decode(body) if body else None
     except (ValueError, RecursionError):
         return None
     if not isinstance(line, dict):
         return None
     typed: list = [None] * len(targets)
-    rescued: list = []
-    at = {t.path: i for i, t in enumerate(targets)}
+    rescued: dict = {}
+    at = _places(targets)
 
     def walk(inside: dict, prefix: str) -> None:
         for k, x in inside.items():
@@ -131,7 +147,7 @@ def read_line(body: str | None, targets: Sequence[Target], boxes: frozenset[str]
                 continue
             if x is None and i is not None:
                 continue
-            rescued.append((path, (_kind(x), _plain(json.dumps(x, separators=(",", ":"), ensure_ascii=False)))))
+            rescued[path] = _kind(x), _json(x)
             if isinstance(x, dict):
                 walk(x, path + ".")
 
@@ -156,14 +172,17 @@ def ingest(lines: DataFrame, body: str = "body", targets: tuple[Target, ...] = L
     keep = [c for c in lines.columns if c != body and c not in {*names, "_readable", "_rescued"}]
     boxes = frozenset(".".join(t.path.split(".")[:i]) for t in targets for i in range(1, t.path.count(".") + 1))
     types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
-    entry = pa.map_(pa.string(), pa.struct([("kind", pa.string()), ("json", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             read = [read_line(x, targets, boxes) for x in b.column(b.num_columns - 1).to_pylist()]
             cols = [pa.array([r is not None for r in read], pa.bool_())]
             cols += [pa.array([r[0][i] if r else None for r in read], types[t.type]) for i, t in enumerate(targets)]
-            cols.append(pa.array([None if r is None else [(p, {"kind": k, "json": j}) for p, (k, j) in dict(r[1]).items()] for r in read], entry))
+            flat = [(p, k, v) for r in read if r for p, (k, v) in r[1].items()]
+            ends = np.cumsum([0, *[len(r[1]) if r else 0 for r in read]])
+            start = pa.array(ends, pa.int32(), mask=np.array([*[r is None for r in read], False]))
+            p, k, v = (pa.array(x, pa.string()) for x in (zip(*flat, strict=True) if flat else ((), (), ())))
+            cols.append(pa.MapArray.from_arrays(start, p, pa.StructArray.from_arrays([k, v], names=["kind", "json"])))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], "_readable", *names, "_rescued"])
 
     first = lines.select(*[F.col(f"`{c}`") for c in keep], F.col(body).alias("_body"))
@@ -299,10 +318,11 @@ def promote(ingested: DataFrame, targets: tuple[Target, ...] = LOG_LINES, trace:
     JSON type that was; both are null where it has none. If several paths have a
     value, the target's own comes first, then the approved in their order.
     """
-    d = ingested
     ways = {t.name: (t.path, *(approved or {}).get(t.name, ())) for t in targets}
+    asked = sorted({p for w in ways.values() for p in w})
+    d = ingested.withColumn("_near", F.map_filter("_rescued", lambda k, x: k.isin(*asked)))
     for t in targets:
-        found = [F.try_element_at(F.col("_rescued"), F.lit(p)) for p in ways[t.name]]
+        found = [F.try_element_at(F.col("_near"), F.lit(p)) for p in ways[t.name]]
         cast = [_replay(x, t) for x in found]
         if t.name in trace:
             own = F.col(t.name).isNotNull()
@@ -321,7 +341,7 @@ def promote(ingested: DataFrame, targets: tuple[Target, ...] = LOG_LINES, trace:
                 ok = ok | ((k == p) | k.startswith(p + ".")) & F.col(t.name).isNotNull()
         return ~ok
 
-    return d.withColumn("_rescued", F.map_filter("_rescued", stays))
+    return d.withColumn("_rescued", F.map_filter("_rescued", stays)).drop("_near")
 
 
 def file_shapes(promoted: DataFrame, file: str = "file_id", trace: tuple[str, ...] = WATCHED) -> DataFrame:
