@@ -5,6 +5,10 @@ identical patterns are counted; every count of a group, and of any union or
 intersection of groups, follows exactly from the pattern totals. The stated
 error is therefore zero.
 
+The set of an identifier is cut into parts of bounded size, so that an identifier in
+any number of groups is never one array: equal parts are numbered, and a pattern is
+the list of its parts' numbers. An identifier in few groups has a single part.
+
 Partial results are the states of :func:`state`: one row per identifier and
 group. States of any parts of the records, overlapping or not, merge by
 :func:`merge` without the records.
@@ -17,11 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.plans.scale import materialise
+from tallywise.plans.scale import join_checked, materialise
 
-#: Identifiers in more groups than this aren't turned into one array; their rows
-#: are counted as they are, which gives the same totals.
-PATTERN_GROUPS = 512
+#: Groups in a part of a set, about; sets are cut by a hash of the group into as many parts as they need.
+PART_GROUPS = 512
 #: Error bound of every count.
 ERROR = 0.0
 
@@ -45,20 +48,29 @@ def merge(*states: DataFrame) -> DataFrame:
 
 
 def patterns(st: DataFrame) -> DataFrame:
-    """(pattern array<struct<groups>>, n): identical patterns and how many identifiers have them.
+    """(pattern_id, parts, groups array<struct<groups>>, n): the patterns, a row for each part, and how many identifiers have each.
 
-    Identifiers beyond PATTERN_GROUPS groups keep their own row per group with
-    ``wide`` = the identifier, and ``n`` null; :func:`counts` counts them distinctly.
+    How a set is cut depends on its size and its groups alone, so equal sets are cut
+    alike and patterns are equal exactly if their parts are. Parts are numbered by the
+    table that lists the different ones, so nothing rests on hashes being free of
+    collisions.
     """
     names = [c for c in st.columns if c != "id"]
     st = materialise(st)
-    size = st.groupBy("id").agg(F.count(F.lit(1)).alias("_k"))
-    wide = size.where(F.col("_k") > PATTERN_GROUPS).select("id")
+    size = st.groupBy("id").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > PART_GROUPS)
+    size = size.select("id", F.ceil(F.col("_k") / PART_GROUPS).cast("int").alias("parts"))
     g = F.struct(*names)
-    many = st.join(wide, "id", "left_semi").select(F.array(g).alias("pattern"), F.lit(None).cast("long").alias("n"), F.col("id").alias("wide"))
-    few = st.join(wide, "id", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list(g)).alias("pattern"))
-    few = few.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).withColumn("wide", F.lit(None).cast(st.schema["id"].dataType))
-    return few.unionByName(many.select("pattern", "n", "wide"))
+    d = join_checked(st, materialise(size), ["id"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    d = d.groupBy("id", "parts", F.pmod(F.xxhash64(*names), F.col("parts")).alias("_at")).agg(F.array_sort(F.collect_list(g)).alias("groups"))
+    one = d.where("parts = 1").groupBy("parts", "groups").agg(F.count(F.lit(1)).alias("n"))
+    many = materialise(d.where("parts > 1"))
+    part = materialise(many.select("parts", "_at", "groups").distinct().withColumn("_no", F.monotonically_increasing_id()))
+    lists = many.join(part, ["parts", "_at", "groups"]).groupBy("id").agg(F.array_sort(F.collect_list("_no")).alias("_nos"))
+    whole = lists.groupBy("_nos").agg(F.count(F.lit(1)).alias("n")).withColumn("_p", F.monotonically_increasing_id())
+    whole = materialise(whole).select("_p", "n", F.explode("_nos").alias("_no")).join(part, "_no")
+    # Numbers of patterns of one part and of several don't meet: odd and even.
+    one = one.select((F.monotonically_increasing_id() * 2).alias("pattern_id"), "parts", "groups", "n")
+    return one.unionByName(whole.select((F.col("_p") * 2 + 1).alias("pattern_id"), "parts", "groups", "n"))
 
 
 def counts(pat: DataFrame, grains: dict[str, Sequence[str]], distinct: str = "n_ids") -> DataFrame:
@@ -67,8 +79,8 @@ def counts(pat: DataFrame, grains: dict[str, Sequence[str]], distinct: str = "n_
     A pattern counts once for each different value of the grain's columns in it.
     Columns that a grain lacks are null. ``grains`` maps a name to columns.
     """
-    names = pat.schema["pattern"].dataType.elementType.fieldNames()
-    types = {f.name: f.dataType for f in pat.schema["pattern"].dataType.elementType.fields}
+    types = {f.name: f.dataType for f in pat.schema["groups"].dataType.elementType.fields}
+    names = list(types)
 
     def keys(p: Column) -> Column:
         out = []
@@ -79,10 +91,10 @@ def counts(pat: DataFrame, grains: dict[str, Sequence[str]], distinct: str = "n_
             out.append(F.array_distinct(_each(p, one)))
         return F.concat(*out)
 
-    narrow = pat.where("wide is null").select("n", F.explode(keys(F.col("pattern"))).alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
-    # Wide identifiers are rows already; each counts once per key.
-    broad = pat.where("wide is not null").select("wide", F.explode(keys(F.col("pattern"))).alias("k")).distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    return narrow.unionByName(broad).groupBy("k").agg(F.sum("n").alias(distinct)).select("k.*", distinct)
+    one = pat.where("parts = 1").select("n", F.explode(keys(F.col("groups"))).alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
+    # Parts of one pattern may share a key, which counts once.
+    many = pat.where("parts > 1").select("pattern_id", "n", F.explode(keys(F.col("groups"))).alias("k")).distinct().groupBy("k").agg(F.sum("n").alias("n"))
+    return one.unionByName(many).groupBy("k").agg(F.sum("n").alias(distinct)).select("k.*", distinct)
 
 
 def _each(p: Column, f) -> Column:
@@ -94,14 +106,12 @@ def combination(pat: DataFrame, any_of: Column | None = None, all_of: Sequence[C
 
     The conditions are over the group columns. Exact, from pattern totals alone.
     """
-    names = pat.schema["pattern"].dataType.elementType.fieldNames()
+    names = pat.schema["groups"].dataType.elementType.fieldNames()
     conds = [*([any_of] if any_of is not None else []), *all_of]
-    d = pat.withColumn("_i", F.monotonically_increasing_id()).withColumn("_g", F.explode("pattern")).select("_i", "n", "wide", *[F.col(f"_g.{c}").alias(c) for c in names])
-    hits = [F.max(c.cast("int")).alias(f"_h{i}") for i, c in enumerate(conds)]
-    key = F.when(F.col("wide").isNull(), F.struct(F.col("_i").alias("i"), F.lit(None).cast("string").alias("w"))).otherwise(
-        F.struct(F.lit(None).cast("long").alias("i"), F.col("wide").cast("string").alias("w"))
-    )
-    d = d.groupBy(key.alias("_key")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"), *hits)
+    # Written first: a task that is run again might number its patterns otherwise.
+    d = materialise(pat).select("pattern_id", "n", F.explode("groups").alias("_g")).select("pattern_id", "n", *[F.col(f"_g.{c}").alias(c) for c in names])
+    hits = [F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(f"_h{i}") for i, c in enumerate(conds)]
+    d = d.groupBy("pattern_id", "n").agg(F.count(F.lit(1)).alias("_c"), *hits)
     for i in range(len(conds)):
         d = d.where(F.col(f"_h{i}") == 1)
     return d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

@@ -36,6 +36,21 @@ def p4_weekend_and_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.combination(pat, all_of=[weekend, ~weekend]).withColumnRenamed("n", "n_sessions")
 
 
+def p4_models_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different models of each session: a model's set of sessions is a wide pattern of many parts."""
+    t = table(spark, sf_dir, "token_records")
+    pat = membership.patterns(membership.state(t, "model", {"session_id": F.col("session_id")}))
+    return membership.counts(pat, {"session": ("session_id",)}, "n_models").select("session_id", "n_models")
+
+
+def p4_models_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models seen both at a weekend and on a weekday, over their sets of sessions and days."""
+    t = table(spark, sf_dir, "token_records")
+    pat = membership.patterns(membership.state(t, "model", {"session_id": F.col("session_id"), "day": F.to_date("record_timestamp")}))
+    weekend = F.dayofweek("day").isin(1, 7)
+    return membership.combination(pat, all_of=[weekend, ~weekend]).withColumnRenamed("n", "n_models")
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, or its containers."""
     out, _ = packing.fill(tokens.with_lengths(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
@@ -96,7 +111,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p4_session_counts, p4_merged, p4_weekend_and_weekday, p6_found, p6_containers, p6_complete, p6_fill, p7_found, p7_overlaps, p8_found, p8_scores, p8_length_ranks,
+            p4_session_counts, p4_merged, p4_weekend_and_weekday, p4_models_by_session, p4_models_of_both, p6_found, p6_containers, p6_complete, p6_fill, p7_found, p7_overlaps, p8_found, p8_scores, p8_length_ranks,
         )
     }
 
@@ -133,6 +148,10 @@ UNION ALL SELECT 'project', NULL, project, count(DISTINCT session_id), 0.0::DOUB
 UNION ALL SELECT 'pair', day, project, count(DISTINCT session_id), 0.0::DOUBLE FROM r GROUP BY day, project""",
         "p7_found": f"""WITH d AS ({_runs_sql('documents', 'doc_id')}), i AS ({_runs_sql('eval_items', 'item_id')})
 SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (run)""",
+        "p4_models_by_session": "SELECT session_id, count(DISTINCT model) AS n_models FROM token_records WHERE model IS NOT NULL GROUP BY session_id",
+        "p4_models_of_both": f"""
+WITH r AS (SELECT model, dayofweek({day}) IN (0, 6) AS w FROM token_records WHERE model IS NOT NULL)
+SELECT count(*) AS n_models FROM (SELECT model FROM r GROUP BY model HAVING bool_or(w) AND bool_or(NOT w))""",
         "p6_complete": "SELECT count(*) AS documents, 0::BIGINT AS wrong, 0::BIGINT AS over, 0::BIGINT AS unused, 0::BIGINT AS empty FROM documents",
         "p8_length_ranks": """
 WITH d AS (SELECT lang, CAST(length(text) AS DOUBLE) AS chars FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)

@@ -35,11 +35,18 @@ def counted(pat):
 
 def test_counts_are_exact_with_wide_identifiers(spark, monkeypatch):
     rows = data()
+    rows += [("hot twin", *r[1:]) for r in rows if r[0] == "hot"]
     df = spark.createDataFrame(rows, SCHEMA)
     assert counted(M.patterns(state(df))) == brute(rows)
-    monkeypatch.setattr(M, "PATTERN_GROUPS", 20)
-    pat = M.patterns(state(df))
-    assert pat.where("wide is not null").count() > 0 and counted(pat) == brute(rows)
+    monkeypatch.setattr(M, "PART_GROUPS", 20)
+    pat = M.patterns(state(df)).cache()
+    assert counted(pat) == brute(rows)
+    # The twins have one pattern of many bounded parts, counted as 2.
+    wide = pat.where("parts > 1").groupBy("pattern_id").agg(F.max("n").alias("n"), F.sum(F.size("groups")).alias("k"), F.max(F.size("groups")).alias("most")).collect()
+    assert [(r["n"], r["k"]) for r in wide if r["k"] == 300] == [(2, 300)] and all(r["most"] < 60 for r in wide)
+    assert pat.where("n is null").count() == 0
+    both = {r[0] for r in rows if r[2] == "p7"} & {r[0] for r in rows if r[2] == "p11"}
+    assert M.combination(pat, all_of=[F.col("project") == "p7", F.col("project") == "p11"]).first()["n"] == len(both) == 2
 
 
 def test_parts_merge_and_combine(spark):
