@@ -8,12 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.operators.counters import MARK, ROW, scan
 from tallywise.operators.records import holds, in_range
 from tallywise.plans.ordered import Ordered
 from tallywise.plans.scale import join_checked, materialise
 
-#: Thresholds of a reset; fixed values.
-COST_STEP, MS_STEP = 1e-4, 100
 #: Least rest of cost that the end flush books.
 REST = 1e-9
 
@@ -78,47 +77,29 @@ def select_status(
     return df.where(in_range(F.timestamp_seconds(s.ts), first, last, tz) & holds(F.col(s.session), session) & holds(F.col(s.project), project) & holds(both, model))
 
 
-def is_reset(prev_cost: Column, prev_ms: Column, cost: Column, ms: Column) -> Column:
-    """Cost or duration fell, from a row that had some."""
-    had = (prev_cost > COST_STEP) | (prev_ms > MS_STEP)
-    return had & ((cost < prev_cost - COST_STEP) | (ms + MS_STEP < prev_ms))
-
-
-def segmented(df: DataFrame, s: Status = S) -> Ordered:
-    """Rows in order of a session with ``segment`` from 1."""
-    o = Ordered(df, [s.session], [s.ts, s.seq]).lag([s.cost, s.duration])
-    back = F.col("_has_prev") & is_reset(F.col(f"prev_{s.cost}"), F.col(f"prev_{s.duration}"), F.col(s.cost), F.col(s.duration))
-    o = o.with_columns({"_reset": F.coalesce(back.cast("int"), F.lit(0))})
-    return o.running(sums={"segment": F.col("_reset") + 0}).with_columns({"segment": F.col("segment") + 1})
-
-
 def cumulative(df: DataFrame, s: Status = S) -> DataFrame:
-    """Rows with ``cum_<counter>``: the total up to the row, over all segments so far."""
-    o = segmented(df, s).freeze()
-    o = o.running(maxes={f"_top_{c}": F.greatest(F.col(c), F.lit(0)) for c in s.counters}, within=["segment"]).freeze()
-    o = o.lag([f"_top_{c}" for c in s.counters], "_was")
-    o = o.running(sums={f"_closed_{c}": F.when(F.col("_reset") == 1, F.col(f"_was_top_{c}")) for c in s.counters})
-    o = o.with_columns({f"cum_{c}": F.col(f"_top_{c}") + F.col(f"_closed_{c}") for c in s.counters})
-    return o.df.drop("_reset", "_has_prev", *[f"{p}{c}" for c in s.counters for p in ("_top_", "_was_top_", "_closed_", "prev_")])
+    """Rows with ``segment`` from 1 and ``cum_<counter>``: the total up to the row, over all segments of its session so far.
+
+    A segment begins where cost or duration fell from a row that had some.
+    """
+    return scan(df, s.session, [s.ts, s.seq], s.counters)
 
 
 def sessions(df: DataFrame, s: Status = S) -> DataFrame:
     """One row per session: totals over segments less the first row's values (at least 0), first project, last model and version, extremes.
 
-    Rows of equal ``ts`` are in order of ``seq``. Segments are summed from partial
-    aggregates; a session of any length is spread over tasks.
+    Rows of equal ``ts`` are in order of ``seq``. Totals and segments never fall along
+    a session, so those of its last row are its greatest; a session of any length is
+    spread over tasks.
     """
-    d = segmented(df, s).df
-    seg = d.groupBy(s.session, "segment").agg(*[F.greatest(F.max(c), F.lit(0)).alias(c) for c in s.counters])
-    tot = seg.groupBy(s.session).agg(F.count(F.lit(1)).alias("segments"), *[F.sum(c).alias(f"_t_{c}") for c in s.counters])
     at = F.struct(s.ts, s.seq)
-    one = df.groupBy(s.session).agg(
+    j = cumulative(df, s).groupBy(s.session).agg(
+        F.max("segment").alias("segments"), *[F.max(f"cum_{c}").alias(f"_t_{c}") for c in s.counters],
         F.min_by(F.struct(s.project, *s.counters), at).alias("_first"), F.max_by(F.struct(s.model, s.version), at).alias("_last"),
         F.max(s.context).alias("max_context_pct"), F.min(s.ts).alias("first_ts"), F.max(s.ts).alias("last_ts"),
         F.min(s.five_hour).alias("min_five_hour_pct"), F.max(s.five_hour).alias("max_five_hour_pct"),
         F.min(s.seven_day).alias("min_seven_day_pct"), F.max(s.seven_day).alias("max_seven_day_pct"),
     )
-    j = one.join(tot, s.session)
     return j.select(
         s.session, F.col(f"_first.{s.project}").alias("project"), F.col(f"_last.{s.model}").alias("model_name"), F.col(f"_last.{s.version}").alias("version"),
         "segments", *[F.greatest(F.col(f"_t_{c}") - F.col(f"_first.{c}"), F.lit(0)).alias(c) for c in s.counters],
@@ -207,14 +188,13 @@ def windows(df: DataFrame, kind: str = "5h", intervals: Sequence[tuple[int, int]
     row's values. Rows without the end belong to no window, and rows outside a 5h
     window's time to no hour of it. A missing 5h percentage is 0.
 
-    The boundaries are put in order among the rows of their session, so that one
-    running maximum gives every total; rows aren't multiplied by windows.
+    The boundaries are put in order among the rows of their session, so that one scan
+    gives every total; rows aren't multiplied by windows.
     """
     if kind not in ("1h", "5h", "1w"):
         raise ValueError(kind)
     resets = s.seven_day_resets if kind == "1w" else s.five_hour_resets
     length = {"1h": 18_000, "5h": 18_000, "1w": 604_800}[kind]
-    cum = cumulative(df, s).select(s.session, s.ts, s.seq, *[f"cum_{c}" for c in s.counters])
     base = df.groupBy(s.session).agg(F.min_by(F.struct(*s.counters), F.struct(s.ts, s.seq)).alias("_base"))
     w = df.where(F.col(resets).isNotNull()).withColumn("window_end", F.col(resets)).withColumn("window_start", F.col(resets) - length)
     if kind == "1h":
@@ -227,11 +207,11 @@ def windows(df: DataFrame, kind: str = "5h", intervals: Sequence[tuple[int, int]
     )
     pairs = materialise(w.select(*who, s.session).distinct())
     marks = pairs.select(s.session, F.explode(F.array("window_start", "window_end")).alias(s.ts)).distinct()
-    none = [F.lit(None).cast(cum.schema[f"cum_{c}"].dataType).alias(f"cum_{c}") for c in s.counters]
-    stream = cum.withColumn("_row", F.lit(1)).unionByName(marks.select(s.session, s.ts, F.lit(0).cast(cum.schema[s.seq].dataType).alias(s.seq), *none, F.lit(0).alias("_row")))
-    run = Ordered(stream, [s.session], [s.ts, "_row", s.seq]).running(maxes={f"at_{c}": F.col(f"cum_{c}") for c in s.counters}).df
-    at = run.where("_row = 0").select(s.session, F.col(s.ts).alias("_t"), *[f"at_{c}" for c in s.counters])
-    at = join_checked(at, base, [s.session]).select(s.session, "_t", F.struct(*[F.coalesce(f"at_{c}", F.col("_base")[c]).alias(c) for c in s.counters]).alias("_v"))
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in (s.seq, *s.counters)]
+    rows = df.select(s.session, F.col(s.ts).cast("long").alias(s.ts), s.seq, *s.counters, F.lit(ROW).alias("_row"))
+    stream = rows.unionByName(marks.select(s.session, F.col(s.ts).cast("long").alias(s.ts), *none, F.lit(MARK).alias("_row")))
+    at = scan(stream, s.session, [s.ts, "_row", s.seq], s.counters, "_row").where(F.col("_row") == MARK).withColumnRenamed(s.ts, "_t")
+    at = join_checked(at, base, [s.session]).select(s.session, "_t", F.struct(*[F.coalesce(f"cum_{c}", F.col("_base")[c]).alias(c) for c in s.counters]).alias("_v"))
     at = materialise(at)
     d = pairs.join(at.select(s.session, F.col("_t").alias("window_end"), F.col("_v").alias("_e")), [s.session, "window_end"])
     d = d.join(at.select(s.session, F.col("_t").alias("window_start"), F.col("_v").alias("_s")), [s.session, "window_start"])

@@ -144,7 +144,7 @@ def status_counts(spark, d):
 
 
 def reset_segments(spark, d):
-    return status.segmented(_status(spark, d)).df.select("snap_id", "segment")
+    return status.cumulative(_status(spark, d)).select("snap_id", "segment")
 
 
 def cumulative_totals(spark, d):

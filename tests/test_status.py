@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import model as M
+from tallywise.operators import counters as C
 from tallywise.operators import status as S
 from tallywise.plans.ordered import Ordered
 
@@ -106,3 +109,32 @@ def test_groups_reach_over_several_partitions(spark):
     assert o._all.select("__pid").distinct().count() > 2 and o._all.where("k = 'hot'").select("__pid").distinct().count() > 1
     s = o.running(sums={"n": F.lit(1)}).df
     assert s.groupBy("k").agg(F.max("n").alias("n"), F.countDistinct("n").alias("d")).where("n <> d").count() == 0
+
+
+def test_scan_over_many_partitions_and_batches(spark, data):
+    """A hot session over many partitions, marks at and between its rows, and batches that end anywhere."""
+    rnd = random.Random(5)
+    hot = [("hot", t // 2, 1, i, float(rnd.choice([rnd.random() * 9, i % 40, 0.0])), rnd.randint(0, 900), i % 50) for i, t in enumerate(sorted(rnd.randint(0, 3000) for _ in range(700)))]
+    rest = [(f"s{i % 9}", i, 1, 10_000 + i, float(i % 7), i * 37 % 1000, i % 5) for i in range(150)]
+    marks = [(k, t, 0, None, None, None, None) for k in ("hot", "s1", "s4", "none") for t in range(-1, 1700, 11)]
+    df = spark.createDataFrame(hot + rest + marks, "k string, t long, row int, seq long, cost double, ms long, n long")
+    for size, parts in (("10000", "4"), ("23", "13"), ("7", "60")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {(r["k"], r["t"], r["row"], r["seq"]): (r["segment"], r["cum_cost"], r["cum_ms"], r["cum_n"]) for r in C.scan(df, "k", ["t", "row", "seq"], ["cost", "ms", "n"], "row").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(got) == len(hot + rest + marks)
+        for k in {r[0] for r in marks} | {r[0] for r in rest}:
+            seg, top, closed, last = 1, None, [0.0] * 3, None
+            for r in sorted((r for r in hot + rest + marks if r[0] == k), key=lambda r: (r[1], r[2], r[3] or 0)):
+                if r[2]:
+                    now = r[4:7]
+                    if last and (last[0] > 1e-4 or last[1] > 100) and (now[0] < last[0] - 1e-4 or now[1] + 100 < last[1]):
+                        seg, closed, top = seg + 1, [a + b for a, b in zip(closed, top, strict=True)], None
+                    top = [max(0, x, y) for x, y in zip(now, top or [0] * 3, strict=True)]
+                    last = now
+                want = (seg, *([None] * 3 if top is None else [a + b for a, b in zip(closed, top, strict=True)]))
+                assert got[r[:4]] == (pytest.approx(want) if top else want), (k, r, size)
