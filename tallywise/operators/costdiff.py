@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.plans.scale import materialise
+
 #: Shortest prefix of an id that may stand for it, in the exploded join.
 LEAST_PREFIX = 1
 
@@ -13,16 +15,21 @@ def match_ids(left: DataFrame, right: DataFrame, key: str = "session_id") -> Dat
     """(left id, right id): equal ids, else of all pairs where one is a prefix of the other the one with the longest common part, then the greatest.
 
     Ids without a partner have a null. Prefix pairs come from equality joins on each
-    id's own prefixes, so ids are never compared all with all. Null ids match nothing;
-    an empty id is no prefix.
+    id's own prefixes of lengths that the other side has, so ids are never compared
+    all with all. Null ids match nothing; an empty id is no prefix.
     """
-    a = left.select(F.col(key).alias("_a")).distinct()
-    b = right.select(F.col(key).alias("_b")).where("_b is not null").distinct()
+    a = materialise(left.select(F.col(key).alias("_a")).distinct())
+    b = materialise(right.select(F.col(key).alias("_b")).where("_b is not null").distinct())
     exact = a.join(b, F.col("_a") == F.col("_b"))
     rest = a.join(exact.select("_a"), "_a", "left_anti")
-    cut = lambda d, c: d.where(F.length(c) > LEAST_PREFIX).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(LEAST_PREFIX), F.length(c) - 1), lambda n: F.substring(F.col(c), F.lit(1), n))))
-    long_a = cut(rest, "_a").join(b.withColumnRenamed("_b", "_p2"), F.col("_p") == F.col("_p2")).select("_a", F.col("_p2").alias("_b"))
-    long_b = cut(b, "_b").join(rest, F.col("_p") == F.col("_a")).select("_a", "_b")
+    sizes = lambda d, c: sorted(r[0] for r in d.select(F.length(c)).distinct().collect() if r[0] >= LEAST_PREFIX)  # at most one row per length
+
+    def cut(d: DataFrame, c: str, lengths: list[int]) -> DataFrame:
+        fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n < F.length(c))
+        return d.withColumn("_p", F.explode(F.transform(fits, lambda n: F.substring(F.col(c), F.lit(1), n))))
+
+    long_a = cut(rest, "_a", sizes(b, "_b")).join(b.withColumnRenamed("_b", "_p2"), F.col("_p") == F.col("_p2")).select("_a", F.col("_p2").alias("_b"))
+    long_b = cut(b, "_b", sizes(rest, "_a")).join(rest, F.col("_p") == F.col("_a")).select("_a", "_b")
     near = long_a.unionByName(long_b)
     best = near.groupBy("_a").agg(F.max(F.struct(F.least(F.length("_a"), F.length("_b")).alias("n"), F.col("_b").alias("b")))["b"].alias("_b"))
     found = exact.unionByName(best)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywise.operators import costdiff, grouping, pricing, records, status
+from tallywise.sources.status import parse_status
 from tallywise.sources.tables import table
+from tallywise.sources.transcripts import parse_lines
 
 #: Digits to which money is given, since the order of a sum may differ.
 DIGITS = 6
@@ -206,16 +208,20 @@ def _computed(spark: SparkSession, d: str, id_: Column) -> DataFrame:
     return _priced(spark, d).where("session_id is not null").groupBy(id_.alias("session_id")).agg(F.sum("total_cost").alias("total_cost"))
 
 
-_DIFF = ("total_cost_usd", "computed_cost", "diff")
+
+
+def _diff(d):
+    return _money("total_cost_usd", "computed_cost", "diff")(d).withColumn("diff_pct", F.round(F.col("diff_pct") + NUDGE, 3))
+
 
 
 def cost_diff_exact(spark, d):
-    return _money(*_DIFF)(costdiff.cost_diff(_reported(spark, d), _computed(spark, d, F.col("session_id")))).drop("diff_pct")
+    return _diff(costdiff.cost_diff(_reported(spark, d), _computed(spark, d, F.col("session_id"))))
 
 
 def cost_diff_prefix(spark, d):
     short = F.when(F.ascii(F.substring("session_id", 1, 1)) % 2 == 0, F.substring("session_id", 1, 6)).otherwise(F.concat("session_id", F.lit("-x")))
-    return _money(*_DIFF)(costdiff.cost_diff(_reported(spark, d), _computed(spark, d, short))).drop("diff_pct")
+    return _diff(costdiff.cost_diff(_reported(spark, d), _computed(spark, d, short)))
 
 
 def cost_diff_totals(spark, d):
@@ -223,6 +229,29 @@ def cost_diff_totals(spark, d):
     return _money("reported", "computed", "diff", "diff_pct")(t)
 
 
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of log files as the readers see them, under the number of the raw line."""
+    t = table(spark, d, "raw_lines").select(F.col("raw_id").alias("line"), F.regexp_replace("body", r"^\s+|\s+$", "").alias("body"))
+    return t.where("body <> ''").withColumns({"file_path": F.lit("/logs/projects/-home-dev/raw.jsonl"), "modified_at": F.lit(None).cast("timestamp")})
+
+
+def raw_status_rows(spark, d):
+    """The status lines that have every required field in the right type."""
+    r = parse_status(_raw(spark, d)).where("ok")
+    return r.select("snap_id", "ts", "session_id", "project_dir", "model_id", "total_cost_usd", "total_duration_ms", "total_lines_added", "total_lines_removed", "context_window_size")
+
+
+def raw_status_counts(spark, d):
+    """Loaded and malformed lines."""
+    return parse_status(_raw(spark, d)).agg(F.count_if("ok").alias("loaded"), F.count_if(~F.col("ok")).alias("malformed"))
+
+
+def raw_usage_rows(spark, d):
+    """Usage records from lines; a line with a field of the wrong type is dropped whole."""
+    r = records.usable(parse_lines(_raw(spark, d)))
+    return r.select(F.col("line").alias("raw_id"), "request_id", "message_id", "model", F.unix_micros("record_timestamp").alias("us"), "input_tokens", "output_tokens", F.coalesce("cache_creation_tokens", F.lit(0)).alias("cache_creation_tokens"))
+
+
 _GROUPS = {
     "group_day": ("day",), "group_month": ("month",), "group_session": ("session",), "group_project": ("project",), "group_model": ("model",),
     "group_subagent": ("subagent",), "group_tool": ("tool",), "group_line": ("line",), "group_two_level_cube": ("day", "model"),
@@ -236,6 +265,7 @@ def queries() -> dict:
         record_names, path_parts, tool_combinations, price_lookup_tiers, unpriced_models, cost_lines, group_empty_totals, group_line_sorted, display_tokens,
         chart_series_auto, chart_series_groups, status_counts, reset_segments, cumulative_totals, session_summary, by_project, by_day, session_totals,
         cumulative_cost, action_changes, windows_range_filter, status_filters, promo_overlap, cost_diff_exact, cost_diff_prefix, cost_diff_totals,
+        raw_status_rows, raw_status_counts, raw_usage_rows,
     )
     out = {f.__name__: f for f in fs}
     out |= {k: _breakdown(*v) for k, v in _GROUPS.items()}
@@ -431,7 +461,26 @@ d AS (
   FROM sess s LEFT JOIN best ON best.a = s.session_id LEFT JOIN comp ON comp.k = best.k)"""
 
 
-_DIFF_ROWS = f" SELECT session_id, matched_id, round(total_cost_usd + {NUDGE}, {DIGITS}) AS total_cost_usd, round(computed_cost + {NUDGE}, {DIGITS}) AS computed_cost, round(diff + {NUDGE}, {DIGITS}) AS diff FROM d"
+def _raw_sql() -> str:
+    """Raw lines with one flag for status lines and one for transcript lines, each field's JSON type checked."""
+    t = lambda p: f"coalesce(json_type(j, '$.{p}'), '-')"
+    need = lambda p, *k: f"{t(p)} IN ({', '.join(map(repr, k))})"
+    whole, number, text = ("UBIGINT",), ("UBIGINT", "BIGINT", "DOUBLE"), ("VARCHAR",)
+    status = [
+        need("ts", "UBIGINT", "BIGINT"), need("data.cost.total_cost_usd", *number), *[need(f"data.{p}", *text) for p in ("session_id", "workspace.project_dir", "model.id")],
+        *[need(f"data.{p}", *whole) for p in ("cost.total_duration_ms", "cost.total_api_duration_ms", "context_window.context_window_size")],
+        *[need(f"data.{p}", "-", *text) for p in ("model.display_name", "version")], *[need(f"data.cost.{p}", "-", *whole) for p in ("total_lines_added", "total_lines_removed")],
+    ]
+    usage = [
+        *[need(p, "-", "NULL", *text) for p in ("type", "requestId", "message.id", "message.model", "timestamp")], *[need(p, "-", "NULL", "OBJECT") for p in ("message", "message.usage", "snapshot")],
+        *[need(f"message.usage.{p}", "-", "NULL", *whole) for p in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")],
+    ]
+    return f"""
+WITH l AS (SELECT raw_id, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM raw_lines WHERE trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+k AS (SELECT raw_id, j, coalesce(json_type(j) = 'OBJECT' AND {' AND '.join(status)}, false) AS ok, coalesce(json_type(j) = 'OBJECT' AND {' AND '.join(usage)}, false) AS used FROM l)"""
+
+
+_DIFF_ROWS = f" SELECT session_id, matched_id, round(total_cost_usd + {NUDGE}, {DIGITS}) AS total_cost_usd, round(computed_cost + {NUDGE}, {DIGITS}) AS computed_cost, round(diff + {NUDGE}, {DIGITS}) AS diff, round(CASE WHEN abs(computed_cost) > 1e-9 THEN diff / computed_cost * 100 END + {NUDGE}, 3) AS diff_pct FROM d"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -503,6 +552,20 @@ SELECT record_id, CAST(floor(epoch(record_timestamp)) AS BIGINT) AS s FROM token
 coalesce(sum(CASE WHEN matched_id IS NOT NULL THEN computed_cost END), 0.0) AS computed, count(matched_id) AS matched, count(*) - count(matched_id) AS unmatched FROM d)
 SELECT round(reported + {NUDGE}, {DIGITS}) AS reported, round(computed + {NUDGE}, {DIGITS}) AS computed, matched, unmatched, round(reported - computed + {NUDGE}, {DIGITS}) AS diff,
 CASE WHEN computed > 0 THEN round((reported - computed) / computed * 100 + {NUDGE}, {DIGITS}) END AS diff_pct FROM t""",
+    }
+    n = lambda p: f"CAST(coalesce(j ->> '$.{p}', '0') AS BIGINT)"
+    out |= {
+        "raw_status_counts": _raw_sql() + " SELECT count_if(ok) AS loaded, count_if(NOT ok) AS malformed FROM k",
+        "raw_status_rows": _raw_sql()
+        + f""" SELECT raw_id AS snap_id, CAST(j ->> '$.ts' AS BIGINT) AS ts, j ->> '$.data.session_id' AS session_id, j ->> '$.data.workspace.project_dir' AS project_dir,
+j ->> '$.data.model.id' AS model_id, CAST(j ->> '$.data.cost.total_cost_usd' AS DOUBLE) AS total_cost_usd, {n('data.cost.total_duration_ms')} AS total_duration_ms,
+{n('data.cost.total_lines_added')} AS total_lines_added, {n('data.cost.total_lines_removed')} AS total_lines_removed, {n('data.context_window.context_window_size')} AS context_window_size FROM k WHERE ok""",
+        "raw_usage_rows": _raw_sql()
+        + f""" SELECT raw_id, j ->> '$.requestId' AS request_id, j ->> '$.message.id' AS message_id, j ->> '$.message.model' AS model,
+epoch_us(try_cast(j ->> '$.timestamp' AS TIMESTAMPTZ)) AS us, {n('message.usage.input_tokens')} AS input_tokens, {n('message.usage.output_tokens')} AS output_tokens,
+{n('message.usage.cache_creation_input_tokens')} AS cache_creation_tokens
+FROM k WHERE used AND coalesce(j ->> '$.type', 'message') IN ('message', 'user', 'assistant') AND j ->> '$.message.model' <> '<synthetic>'
+AND j ->> '$.message.usage.input_tokens' IS NOT NULL AND j ->> '$.message.usage.output_tokens' IS NOT NULL""",
     }
     out |= {k: _group_sql(v) for k, v in _GROUPS.items()} | {"group_tz": _group_sql(("hour",), TZ)}
     return out | {f"data_driven_windows_{k}": _window_sql(k) for k in ("1h", "5h", "1w")}
