@@ -22,7 +22,7 @@ def match_ids(left: DataFrame, right: DataFrame, key: str = "session_id") -> Dat
     b = materialise(right.select(F.col(key).alias("_b")).where("_b is not null").distinct())
     exact = a.join(b, F.col("_a") == F.col("_b"))
     rest = a.join(exact.select("_a"), "_a", "left_anti")
-    sizes = lambda d, c: sorted(r[0] for r in d.select(F.length(c)).distinct().collect() if r[0] >= LEAST_PREFIX)  # at most one row per length
+    sizes = lambda d, c: sorted(r[0] for r in d.select(F.length(c)).distinct().collect() if (r[0] or 0) >= LEAST_PREFIX)  # at most one row per length
 
     def cut(d: DataFrame, c: str, lengths: list[int]) -> DataFrame:
         fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n < F.length(c))

@@ -13,7 +13,11 @@ from tallywise.operators.grouping import DIMENSIONS
 VIEWS = ("action", "session", "project", "day", "1h", "5h", "1w")
 FORMATS = ("json", "markdown", "html", "txt", "csv", "tsv")
 EXTENSIONS = {"json": "json", "markdown": "md", "html": "html", "txt": "txt", "csv": "csv", "tsv": "tsv"}
-_DATE = re.compile(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?$")
+#: The shape of a date; a fixed pattern.
+_DATE = re.compile(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?$")
+#: Option -> its values; fixed values.
+CHOICES = {"order": ("asc", "desc"), "table": ("auto", "full", "compact"), "cost": ("true", "false", "decimal"), "copy": FORMATS, "output": FORMATS}
+CHARTS = {False: ("cost", "token"), True: ("5h", "1w", "cost")}
 #: Shortcut -> (days and hours before, after); in the order of precedence.
 SHORTCUTS = {"5hfrom": (0, 5), "5hto": (5, 0), "1wfrom": (0, 168), "1wto": (168, 0)}
 
@@ -86,12 +90,15 @@ def errors(o: Mapping[str, object], status: bool = False) -> list[str]:
         out.append("5h and 1w ranges exclude each other")
     if (five or week) and (o.get("from") or o.get("to")):
         out.append("a 5h or 1w range excludes --from and --to")
-    if o.get("output") and o["output"] not in FORMATS:
-        out.append(f"unknown --output {o['output']!r}; one of {', '.join(FORMATS)}")
+    for k, known in {**CHOICES, "chart": CHARTS[status]}.items():
+        if o.get(k) and o[k] not in known:
+            out.append(f"--{k}: invalid value {o[k]!r}. Valid: {', '.join(known)}")
     if o.get("chart") and o.get("output") not in (None, "txt"):
         out.append("--chart needs --output txt")
-    if not status and o.get("live_pricing") and o.get("pricing_data"):
+    if o.get("live_pricing") and o.get("pricing_data"):
         out.append("--live-pricing and --pricing-data exclude each other")
+    if o.get("live_pricing") and not (o.get("pricing_url") and o.get("provider")):
+        out.append("--live-pricing needs --pricing-url and at least one --provider; without prices all costs would be 0")
     if status and o.get("cost_diff") and per != ["session"]:
         out.append("--cost-diff needs --per session")
     return out

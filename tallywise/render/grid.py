@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import html
 import io
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -116,8 +117,18 @@ def to_html(g: Grid, title: str) -> str:
     )
 
 
+def to_json(g: Grid) -> str:
+    """An array of objects of texts by header, totals last."""
+    bare = lambda r: {h: _ANSI.sub("", x) for h, x in zip(g.headers, r, strict=True)}
+    return json.dumps([bare(r) for r in [*g.rows, *g.totals]], indent=2, ensure_ascii=False)
+
+
+def without_totals(g: Grid) -> Grid:
+    return Grid(g.headers, g.rows)
+
+
 def render(g: Grid, form: str, title: str = "", colour: bool = False, quoted_tsv: bool = False) -> str:
     return {
         "txt": lambda: box(g, colour), "csv": lambda: to_csv(g), "tsv": lambda: to_tsv(g, quoted_tsv), "markdown": lambda: to_markdown(g),
-        "html": lambda: to_html(g, title),
+        "html": lambda: to_html(g, title), "json": lambda: to_json(g),
     }[form]()

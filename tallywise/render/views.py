@@ -127,3 +127,22 @@ def diff_grid(rows: Sequence[Mapping], mode: str = "decimal") -> Grid:
     off = len(rows) - len(ok)
     g.totals.append([f"TOTAL ({off} unmatched)" if off else "TOTAL", "", money(a), money(b), money(a - b), f"{(a - b) / b * 100:.1f}%" if b > 0 else v.DASH])
     return g
+
+
+def raw_actions(rows: Sequence[Mapping], tz: str = "UTC") -> Grid:
+    """Changes with whole ids and costs to six decimals, for CSV that is read by programs."""
+    g = Grid(["Time", "Cost", "5h%", "1w%", "5h Resets", "1w Resets", "Session"])
+    for r in rows:
+        when = [_when(r[c], tz) for c in ("ts", "five_hour_resets_at", "seven_day_resets_at")]
+        g.rows.append([when[0], f"{r['cost_delta']:.6f}", str(r["five_hour_used_percentage"]), str(r["seven_day_used_percentage"]), *when[1:], r["session_id"]])
+    return g
+
+
+def raw_sessions(rows: Sequence[Mapping]) -> Grid:
+    """Sessions with whole ids and projects, costs to six decimals and plain counts."""
+    g = Grid(["Session", "Project", "Cost", "Duration", "API Time", "Lines Added", "Lines Removed", "Ctx%", "Segments"])
+    for r in rows:
+        context = "" if r["max_context_pct"] is None else str(r["max_context_pct"])
+        time = [v.duration(r["total_duration_ms"]), v.duration(r["total_api_duration_ms"])]
+        g.rows.append([r["session_id"], r["project"], f"{r['total_cost_usd']:.6f}", *time, str(r["total_lines_added"]), str(r["total_lines_removed"]), context, str(r["segments"])])
+    return g

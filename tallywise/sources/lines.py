@@ -13,8 +13,30 @@ from tallywise.plans.ordered import Ordered
 _TRIM = r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$"
 
 
-def jsonl_files(root: str) -> list[str]:
-    """All ``*.jsonl`` below a folder, also those with hidden names; unreadable folders count as empty."""
+def _file_system(spark: SparkSession, url: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(url)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, url: str) -> bool:
+    """Whether there is a file or folder of that URL."""
+    fs, at = _file_system(spark, url)
+    return fs.exists(at)
+
+
+def jsonl_files(root: str, spark: SparkSession | None = None) -> list[str]:
+    """All ``*.jsonl`` below a folder, also those with hidden names; unreadable folders count as empty.
+
+    A URL is listed by its Hadoop file system, recursively, as object stores do it in few calls.
+    """
+    if "://" in root:
+        fs, at = _file_system(spark, root)
+        found, it = [], fs.listFiles(at, True)
+        while it.hasNext():
+            name = it.next().getPath().toString()
+            if name.endswith(".jsonl"):
+                found.append(name)
+        return sorted(found)
     found = []
     for base, _, names in os.walk(root, followlinks=True):
         found += [os.path.join(base, n) for n in names if n.endswith(".jsonl")]

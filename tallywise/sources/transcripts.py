@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywise.functions.json import Field, fits, get, is_one_of, kind, text, whole
 from tallywise.operators import records
-from tallywise.sources.lines import jsonl_files, numbered_lines
+from tallywise.sources.lines import exists, jsonl_files, numbered_lines
 
 #: Folders below the home directory that may hold logs; fixed values.
 HOMES = (".claude", ".config/claude")
@@ -23,8 +23,11 @@ _COUNTS = {
 }
 
 
-def roots(folder: str | None = None) -> list[str]:
-    """The existing ``projects`` folders: of the one given, else of the homes; links to the same folder count once."""
+def roots(folder: str | None = None, spark: SparkSession | None = None) -> list[str]:
+    """The existing ``projects`` folders: of the one given, else of the homes; links to the same folder count once. A folder may be a URL that Spark can read."""
+    if folder and "://" in folder:
+        at = f"{folder.rstrip('/')}/projects"
+        return [at] if exists(spark, at) else []
     homes = [folder] if folder else [os.path.join(os.path.expanduser("~"), h) for h in HOMES]
     return list(dict.fromkeys(os.path.realpath(p) for h in homes if os.path.isdir(p := os.path.join(h, "projects"))))
 
@@ -64,15 +67,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     """All message records below the folders, before deduplication."""
-    return parse_lines(numbered_lines(spark, [f for r in folders for f in jsonl_files(r)]))
+    return parse_lines(numbered_lines(spark, [f for r in folders for f in jsonl_files(r, spark)]))
 
 
 def load_usage(
     spark: SparkSession, folder: str | None = None, first: str | None = None, last: str | None = None, tz: str = "UTC", project: str | None = None,
-    model: str | None = None, session: str | None = None,
+    model: str | None = None, session: str | None = None, raw: DataFrame | None = None,
 ) -> DataFrame:
-    """Usage records: read, validated, one copy of each message, times repaired, then the user's filters."""
-    d = records.usable(read_records(spark, roots(folder)))
+    """Usage records: read, validated, one copy of each message, times repaired, then the user's filters. ``raw`` are usable records read before."""
+    d = records.usable(read_records(spark, roots(folder, spark))) if raw is None else raw
     d = records.keep_max(d, ["message_id", "request_id"], "output_tokens", ["file_path", "line"])
     d = records.repair_times(d, "file_path", ["line"], "record_timestamp", "modified_at")
     d = records.select_records(d, "record_timestamp", first, last, tz, project, model, session)

@@ -1,11 +1,14 @@
+import base64
 import json
 
 import pytest
 
 from tallywise import options
 from tallywise.cli import main
+from tallywise.operators import status
 from tallywise.render import grid as G
 from tallywise.render import values as V
+from tallywise.render import views
 from tallywise.render.chart import chart
 from tallywise.render.clipboard import osc52
 from tallywise.sources import prices, transcripts
@@ -102,7 +105,8 @@ def test_reports(spark, tree, capsys, args, parts):
     [
         ([], ["Window", "Est 5h Budg"]), (["--per", "session", "--output", "csv", "--filename", "-"], ["Session,Cost", "s0,$2", "TOTAL,$4"]),
         (["--per", "action", "--tz", "+05:30", "--table", "full"], ["5h Resets", "3%"]), (["--per", "day", "--output", "json", "--filename", "-"], ['"view": "day"', '"totalCostUsd"']),
-        (["--per", "1h", "--output", "html", "--filename", "-"], ["<table>", "5h Resets"]), (["--per", "session", "--cost-diff"], ["unmatched"]), (["--chart", "cost"], ["$"]),
+        (["--per", "1h", "--output", "html", "--filename", "-"], ["<table>", "5h Resets"]), (["--per", "session", "--cost-diff"], ["unmatched"]),
+        (["--per", "session", "--cost-diff", "--output", "json", "--filename", "-"], ['"totals"', '"unmatchedCount": 2', '"computed": null']), (["--nopromo", "--copy", "csv"], ["Window"]), (["--chart", "cost"], ["$"]),
     ],
 )
 def test_status_views(spark, tree, capsys, args, parts):
@@ -117,6 +121,51 @@ def test_status_headers_are_long(spark, tree, capsys, form, head):
     assert head in capsys.readouterr().out.splitlines()[0]
 
 
+def test_every_error_is_reported_at_once(capsys):
+    assert main(["--order", "up", "--table", "x", "--cost", "y", "--copy", "banana", "--chart", "z", "--output", "w", "--live-pricing"]) == 1
+    err = capsys.readouterr().err
+    assert [x.split(":")[0] for x in err.splitlines() if ": invalid value" in x] == ["--order", "--table", "--cost", "--copy", "--output", "--chart"]
+    assert "--live-pricing needs --pricing-url" in err and "Valid: json, markdown, html, txt, csv, tsv" in err
+    assert main(["--live-pricing", "--pricing-url", "u", "--provider", "p", "--pricing-data", "f"]) == 1 and "exclude" in capsys.readouterr().err
+    for v in ("-v", "--version"):
+        with pytest.raises(SystemExit) as e:
+            main([v])
+        assert e.value.code == 0 and "tallywise" in capsys.readouterr().out
+
+
+def test_copy_has_its_own_format(spark, tree, capsys, tmp_path):
+    out = tmp_path / "o.json"
+    assert main(["--log-dir", str(tree), "--per", "model", "--output", "json", "--filename", str(out), "--copy", "markdown"], spark) == 0
+    err = capsys.readouterr().err
+    assert "copied markdown" in err and json.loads(out.read_text())["data"]
+    assert base64.b64decode(err.split("52;c;")[1].split("\x07")[0]).decode().startswith("| Model |")
+
+
+def test_catalogs_lie_over_each_other(spark, tree, capsys, tmp_path):
+    (tmp_path / "own.json").write_text(json.dumps({"models": {"abc": {"outputCostPerToken": 2}, "x": {}}}))
+    args = ["--log-dir", str(tree), "--per", "model", "--cost", "decimal", "--output", "csv", "--filename", "-", "--table", "compact"]
+    assert main([*args, "--pricing-data", f"{tree}/prices.json", "--pricing-data", f"{tmp_path}/own.json"], spark) == 0
+    got = capsys.readouterr()
+    # 9 + 3 + 1 + 1 output tokens at 2, input free; the date is that of the first file.
+    assert "($28.00)" in got.out and "prices of 2025-01-01" in got.err
+
+
+def test_folder_as_url(spark, tree):
+    url = f"file://{tree}"
+    assert transcripts.roots(url, spark) == [f"{url}/projects"] and transcripts.roots(url + "/none", spark) == []
+    assert transcripts.load_usage(spark, url).count() == 4
+
+
+def test_raw_numbers(spark, tree):
+    d, _ = load_status(spark, str(tree / "status.jsonl"))
+    a = G.to_csv(views.raw_actions([r.asDict() for r in status.actions(d).orderBy("snap_id").collect()])).splitlines()
+    s = G.to_csv(views.raw_sessions([r.asDict() for r in status.sessions(d).orderBy("session_id").collect()])).splitlines()
+    assert a[0] == "Time,Cost,5h%,1w%,5h Resets,1w Resets,Session" and a[2].split(",")[1:4] == ["1.000000", "4", "1"] and a[1].endswith(",s0")
+    assert s[1] == "s0,/a/b/c,2.000000,2s,0s,0,0,,1"
+    g = G.Grid(["A", "B"], [["x", "1"]], [["TOTAL", "\x1b[33m1\x1b[0m"]])
+    assert json.loads(G.to_json(g)) == [{"A": "x", "B": "1"}, {"A": "TOTAL", "B": "1"}] and "TOTAL" not in G.box(G.without_totals(g)) and json.loads(G.render(g, "json"))
+
+
 def test_validation(capsys):
     assert main(["--per", "x", "--per", "day", "--per", "day", "--from", "1.1.25", "--5hfrom", "2025-01-01", "--5hto", "2025-01-01", "--chart", "cost", "--output", "csv"]) == 1
     assert len(capsys.readouterr().err.splitlines()) == 6
