@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallywise import options
 from tallywise.operators import costdiff, grouping, pricing, records, status
-from tallywise.plans.scale import materialise
+from tallywise.plans.scale import clean, materialise
 from tallywise.render import grid, values, views
 from tallywise.render.chart import chart
 from tallywise.render.clipboard import osc52
@@ -214,6 +214,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         print(f"copied {o.copy} to the clipboard", file=sys.stderr)
     text = report.text(o.output or "txt")
     _write(text, o, "status" if o.command == "sl" else "usage")
+    clean()
     return 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -20,23 +21,54 @@ HOT_ROWS = 50_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; one is set only where none is (as in tests)."""
+    """The shared checkpoint folder. Where none is set a temporary one is, but only on a local master (as in tests):
+    executors of a cluster don't share a machine's folder.
+    """
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have
-    want = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tallywise-{uuid.uuid4().hex}"
+    want = spark.conf.get("spark.checkpoint.dir", None)
+    if not want:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        want = f"{tempfile.gettempdir()}/tallywise-{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(want)
     return spark.sparkContext.getCheckpointDir()
 
 
+class Temporary:
+    """A written table of :func:`materialise`; :func:`clean` deletes it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def delete(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_WRITTEN: list[Temporary] = []
+
+
+def clean() -> int:
+    """Deletes the tables that were written for queries so far; call it when their results are no longer read. Gives their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        _WRITTEN.pop().delete()
+    return n
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder and read again.
 
     Cuts the lineage, survives the loss of executors, and keeps only compressed
-    columns on disk. The row order and partitioning aren't kept.
+    columns on disk. The row order and partitioning aren't kept. The table stays until
+    :func:`clean`, since a lazy result may still read it.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _WRITTEN.append(Temporary(df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

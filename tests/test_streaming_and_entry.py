@@ -2,8 +2,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallywise.plans import scale
 from tallywise.operators import records as R
 from tallywise.streaming import records as S
 
@@ -36,6 +38,27 @@ def test_catalogue():
     assert set(sql) <= set(q) and {f"p{n}_found" for n in (1, 2, 3, 5)} <= set(q) and len(sql) >= 50
 
 
+def test_written_tables_are_deleted(spark):
+    d = scale.materialise(spark.range(9).withColumn("x", F.col("id") * 2))
+    path = scale._WRITTEN[-1].path
+    assert d.agg({"x": "sum"}).first()[0] == 72 and os.path.isdir(path.removeprefix("file:"))
+    assert scale.clean() >= 1 and not os.path.exists(path.removeprefix("file:")) and scale.clean() == 0
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scale.checkpoint_dir(Session)
+
+
 def test_core_does_not_import_the_subpackage():
     base = os.path.join(os.path.dirname(entry.__file__), "tallywise")
     for d, _, names in os.walk(base):
