@@ -30,8 +30,8 @@ from tallywise.plans.scale import dense_partitions, join_checked, materialise
 #: Language of a text that has no common word of any; its values are ranked among those of all languages.
 NO_LANGUAGE = "und"
 #: Most labelled documents that the weights are fitted to; taken in order of a hash of the key.
-LABELLED = 2_000
-#: Most common words, which every task holds; more of them than this aren't frequent words.
+LABELLED = 5_000
+#: Most common words, which every task holds; a longer table is refused, not cut.
 LEXICON_ROWS = 1_000_000
 #: Least and most evidence of a word, and what its counts are smoothed by.
 WORD_LOW, WORD_HIGH, SMOOTH = -1.0, 2.5, 0.5
@@ -157,10 +157,10 @@ class Ranks:
         return np.maximum(out, 0.0)
 
 
-def word_weights(rows: Sequence[tuple[str | None, list[Counter], list[int], bool]], lex: Lexicon) -> dict[tuple[str, str], float]:
+def word_weights(rows: Sequence[tuple[str | None, list[Counter], bool]], lex: Lexicon) -> dict[tuple[str, str], float]:
     """(language, word) -> evidence: logarithm of how much more frequent a common word is in prose than in other labelled texts."""
     seen = {False: {}, True: {}}
-    for lang, bags, _, prose in rows:
+    for lang, bags, prose in rows:
         for bag in bags:
             c = seen[prose].setdefault(lang, Counter())
             c[None] += sum(bag.values())
@@ -248,14 +248,18 @@ def outlier_scores(
     Texts are parsed once; passages are written, then read once a round. Rank tables
     are at most some thousand values per statistic and language.
     """
-    rows = [tuple(r) for r in common_words.select("lang", "word").where("lang is not null and word is not null").distinct().limit(LEXICON_ROWS).collect()]
+    rows = [tuple(r) for r in common_words.select("lang", "word").where("lang is not null and word is not null").distinct().limit(LEXICON_ROWS + 1).collect()]
+    if len(rows) > LEXICON_ROWS:
+        raise ValueError(f"more than {LEXICON_ROWS} common words: that isn't a list of frequent words")
     lex = Lexicon(sorted(rows))
     sample = _labelled(docs, labels, key, text, lang)
     first = [(*passages(t, lex, h), prose) for h, t, prose in sample]
-    lex = Lexicon(sorted(rows), word_weights([(k, bags, [], prose) for k, _, _, bags, prose in first], lex))
+    lex = Lexicon(sorted(rows), word_weights([(k, bags, prose) for k, _, _, bags, prose in first], lex))
     names, values, weight, bad = [], [], [], []
-    for h, t, prose in sample:
-        k, size, flat, _ = passages(t, lex, h)
+    for k, size, flat, bags, prose in first:
+        # Only the evidence rests on the weights.
+        for i, bag in enumerate(bags):
+            flat[_WIDTH * i + 1] = max(lex.count(bag)[1], default=0.0) / (sum(bag.values()) or 1)
         x = _flat(flat).reshape(-1, _WIDTH)
         names += [k or NO_LANGUAGE] * len(x)
         values.append(x[:, 1:])
