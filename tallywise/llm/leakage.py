@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywise.llm.markup import words
+from tallywise.plans.scale import materialise
 
 SPAN = 13
 #: Word positions that count; fixed, for this SPAN, SIMILARITY and GAP.
@@ -31,9 +33,10 @@ RUN = "1" * 9
 SIMILARITY = 0.8
 #: Most mismatches in a row inside an overlap.
 GAP = 2
-#: Most characters of test items in one block. The tables of a block are broadcast;
-#: more items are searched in several blocks.
-BLOCK_CHARS = 19_000_000
+#: Most characters of test items whose seeds and words every task holds. The seeds of more items are joined by shuffle.
+HELD_CHARS = 19_000_000
+#: Bits of the filter of the shuffled join, at most: 128 MB.
+MOST_BITS = 30
 _FILTER_BITS = 22
 
 
@@ -61,7 +64,7 @@ def seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ItemIndex:
-    """The words and sorted seed hashes of a block of test items."""
+    """The words and sorted seed hashes of test items."""
 
     def __init__(self, rows: list[tuple[object, str | None]]):
         self.vocab: dict[str, int] = {}
@@ -155,21 +158,122 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
     line layout don't count. Null and empty texts, and items of fewer than SPAN
     words, give no row. Item keys may repeat; each item is searched by itself.
 
-    Documents are read once per block of items; nothing is shuffled. The tables of
-    a block, of at most BLOCK_CHARS characters of items, are broadcast.
+    Documents are read once, whatever the number of items. Up to HELD_CHARS of items
+    are held by every task and nothing is shuffled; beyond, see :func:`leaks_joined`.
     """
     spark = docs.sparkSession
     chars = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
-    n = max(1, -(-chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64(item, item_text), F.lit(n))
-    schema = f"{item} {items.schema[item].dataType.simpleString()}, {doc} {docs.schema[doc].dataType.simpleString()}, doc_word int, item_word int, words int, substitutions int, exact_run int"
-    out = None
-    for k in range(n):
-        rows = [tuple(r) for r in items.where(block == k).select(item, item_text).collect()]
-        shared = spark.sparkContext.broadcast(ItemIndex(rows))
-        one = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInArrow(_search(shared, schema), schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+    if chars > HELD_CHARS:
+        return leaks_joined(docs, items, doc, text, item, item_text)
+    schema = _schema(docs, items, doc, item)
+    shared = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in items.select(item, item_text).collect()]))
+    return docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInArrow(_search(shared, schema), schema)
+
+
+def _schema(docs: DataFrame, items: DataFrame, doc: str, item: str) -> str:
+    return f"{item} {items.schema[item].dataType.simpleString()}, {doc} {docs.schema[doc].dataType.simpleString()}, doc_word int, item_word int, words int, substitutions int, exact_run int"
+
+
+def _hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
+    """64 bits for each word, never 0; ``known`` is emptied when it has grown large."""
+    if len(known) > 1_000_000:
+        known.clear()
+    out = []
+    for w in words(text):
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh64_intdigest(w) | 1
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
+def _all_seeds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) under every mask; masks don't share hashes."""
+    found = [seeds(ids, m) for m in (*MASKS, RUN)]
+    turn = [h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1) for k, (_, h) in enumerate(found, 1)]
+    return np.concatenate([p for p, _ in found]), np.concatenate(turn)
+
+
+def leaks_joined(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The same as :func:`leaks` for any number of items: seeds meet in a shuffled join.
+
+    A filter of the items' seeds, of a size that is bounded and grows with their number,
+    is held by every task. Documents are read once; those with a seed that passes it are
+    written with these seeds, which are joined with the items'. Diagonals on which they
+    meet are verified in the words of both texts, which join by number.
+    """
+    spark = docs.sparkSession
+    schema = _schema(docs, items, doc, item)
+    it = materialise(items.select(F.monotonically_increasing_id().alias("_item"), F.col(item).alias("_i"), F.col(item_text).alias("_it")))
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p, h = _all_seeds(_hashes(t, known))
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(p), n)), pa.array(p.astype(np.int32))], names=["_h", "_item", "_q"])
+
+    table = materialise(it.select("_item", "_it").mapInArrow(item_seeds, "_h bigint, _item bigint, _q int"))
+    size = min(MOST_BITS, max(16, int(table.count() * 16).bit_length()))
+    bit = F.shiftrightunsigned("_h", 64 - size)
+    cells = table.groupBy(F.shiftright(bit, 6).alias("c")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("b")).toPandas()  # at most 2 ** (MOST_BITS - 6)
+    mask = np.zeros(1 << size - 6, np.int64)
+    mask[cells["c"].to_numpy(np.int64)] = cells["b"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(mask.view(np.uint64))
+
+    def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        bits = shared.value
+        for b in batches:
+            rows, hs, ps = [], [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                p, h = _all_seeds(_hashes(t, known))
+                at = h >> np.uint64(64 - size)
+                hit = bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+                if hit.any():
+                    rows.append(i)
+                    hs.append(h[hit].view(np.int64))
+                    ps.append(p[hit].astype(np.int32))
+            if rows:
+                few = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(hs, pa.list_(pa.int64())), pa.array(ps, pa.list_(pa.int32()))], names=["_doc", "_d", "_dt", "_hs", "_ps"])
+
+    first = docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(doc).alias("_d"), F.col(text).alias("_dt"))
+    near = materialise(first.mapInArrow(doc_seeds, f"_doc bigint, _d {docs.schema[doc].dataType.simpleString()}, _dt string, _hs array<bigint>, _ps array<int>"))
+    hits = near.select("_doc", F.explode(F.arrays_zip("_hs", "_ps")).alias("x")).select("_doc", F.col("x._hs").alias("_h"), F.col("x._ps").alias("_p"))
+    pairs = hits.join(table, "_h").select("_doc", "_item", (F.col("_p") - F.col("_q")).alias("_off")).distinct()
+    pairs = pairs.groupBy("_doc", "_item").agg(F.collect_list("_off").alias("_offs"))
+    both = pairs.join(near.select("_doc", "_d", "_dt"), "_doc").join(it, "_item").select("_i", "_d", "_it", "_dt", "_offs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            rows = []
+            for i, d, it_, dt, offs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                best = _best(_hashes(dt, known), _hashes(it_, known), offs)
+                if best:
+                    rows.append((i, d, *best))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                kinds = [b.schema.field(0).type, b.schema.field(1).type, *[pa.int32()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return both.mapInArrow(verify, schema)
+
+
+def _best(d: np.ndarray, i: np.ndarray, offs: list[int]) -> tuple[int, int, int, int, int] | None:
+    """(text word, item word, words, substitutions, longest exact run): the best overlap of a pair on these diagonals."""
+    best = None
+    for off in offs:
+        a, b = max(0, -off), min(len(i), len(d) - off)
+        found = overlap(d[a + off : b + off] == i[a:b])
+        if found:
+            at, size, wrong, run = found
+            row = (a + off + at, a + at, size, wrong, run)
+            if best is None or (row[4], row[2], -row[0], -row[1]) > (best[4], best[2], -best[0], -best[1]):
+                best = row
+    return best
 
 
 def _search(shared, schema: str):

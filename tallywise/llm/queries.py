@@ -87,6 +87,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_overlaps(spark, sf_dir).where(f"exact_run >= {leakage.SPAN}").select("item_id", "doc_id").distinct()
 
 
+def p7_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as p7_found by the shuffled join that any number of test items takes."""
+    d = leakage.leaks_joined(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return d.where(f"exact_run >= {leakage.SPAN}").select("item_id", "doc_id").distinct()
+
+
 def _scores(spark: SparkSession, sf_dir: str, with_figures: bool) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("withdrawn", F.col("author").isNull())
     return quality.outlier_scores(docs, table(spark, sf_dir, "common_words"), table(spark, sf_dir, "doc_labels"), keep=["withdrawn"], with_figures=with_figures)
@@ -111,7 +117,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p4_session_counts, p4_merged, p4_weekend_and_weekday, p4_models_by_session, p4_models_of_both, p6_found, p6_containers, p6_complete, p6_fill, p7_found, p7_overlaps, p8_found, p8_scores, p8_length_ranks,
+            p4_session_counts, p4_merged, p4_weekend_and_weekday, p4_models_by_session, p4_models_of_both, p6_found, p6_containers, p6_complete, p6_fill, p7_found, p7_joined, p7_overlaps, p8_found, p8_scores, p8_length_ranks,
         )
     }
 
@@ -140,14 +146,16 @@ FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM (S
 
 def oracle_sql() -> dict[str, str]:
     day = "CAST(record_timestamp AT TIME ZONE 'UTC' AS DATE)"
+    leaked = f"""WITH d AS ({_runs_sql('documents', 'doc_id')}), i AS ({_runs_sql('eval_items', 'item_id')})
+SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (run)"""
     return {
         "p4_session_counts": f"""
 WITH r AS (SELECT session_id, {day} AS day, project FROM token_records WHERE session_id IS NOT NULL)
 SELECT 'day' AS grain, day, CAST(NULL AS VARCHAR) AS project, count(DISTINCT session_id) AS n_sessions, 0.0::DOUBLE AS error_bound FROM r GROUP BY day
 UNION ALL SELECT 'project', NULL, project, count(DISTINCT session_id), 0.0::DOUBLE FROM r GROUP BY project
 UNION ALL SELECT 'pair', day, project, count(DISTINCT session_id), 0.0::DOUBLE FROM r GROUP BY day, project""",
-        "p7_found": f"""WITH d AS ({_runs_sql('documents', 'doc_id')}), i AS ({_runs_sql('eval_items', 'item_id')})
-SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (run)""",
+        "p7_found": leaked,
+        "p7_joined": leaked,
         "p4_models_by_session": "SELECT session_id, count(DISTINCT model) AS n_models FROM token_records WHERE model IS NOT NULL GROUP BY session_id",
         "p4_models_of_both": f"""
 WITH r AS (SELECT model, dayofweek({day}) IN (0, 6) AS w FROM token_records WHERE model IS NOT NULL)

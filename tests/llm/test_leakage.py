@@ -42,15 +42,16 @@ def test_exact_runs_match_brute_force(spark):
     assert found == want and len(want) > 30
 
 
-def test_substitutions_and_blocks(spark, monkeypatch):
+def test_substitutions_and_many_items(spark, monkeypatch):
     item = [f"q{i}" for i in range(40)]
     doc = list(item)
     for k in (6, 17, 29):
         doc[k] = "other"
     items = spark.createDataFrame([(i, " ".join(item if i == 3 else [f"z{i}x{k}" for k in range(20)])) for i in range(9)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "intro words " + " ".join(doc)), (2, " ".join(item[:12]))], "doc_id long, text string")
-    monkeypatch.setattr(L, "BLOCK_CHARS", 200)
     rows = L.leaks(docs, items).collect()
+    monkeypatch.setattr(L, "HELD_CHARS", 200)
+    assert L.leaks(docs, items).collect() == rows
     assert [(r["item_id"], r["doc_id"], r["doc_word"], r["item_word"], r["words"], r["substitutions"], r["exact_run"]) for r in rows] == [(3, 1, 2, 0, 40, 3, 11)]
 
 
@@ -58,8 +59,19 @@ def test_masks_and_empty_tables(spark):
     assert all(len(m) == L.SPAN and m[0] == m[-1] == "1" for m in L.MASKS) and len(L.seeds(np.arange(5, dtype=np.int32), L.MASKS[0])[0]) == 0
     d, i = spark.createDataFrame([(1, "a " * 50)], "doc_id long, text string"), spark.createDataFrame([(1, "a " * 50)], "item_id long, text string")
     assert L.leaks(d, i.where("false")).count() == 0 and L.leaks(d.where("false"), i).count() == 0
-    r = L.leaks(d, i).collect()
-    assert len(r) == 1 and r[0]["exact_run"] == 50
+    assert L.leaks_joined(d, i.where("false")).count() == 0 and L.leaks_joined(d.where("false"), i).count() == 0
+    for r in (L.leaks(d, i).collect(), L.leaks_joined(d, i).collect()):
+        assert len(r) == 1 and r[0]["exact_run"] == 50
+
+
+def test_many_items_with_one_opening(spark):
+    """Items that share their opening leak it all, and none is lost; keys may be null or repeat."""
+    opening = " ".join(f"o{k}" for k in range(16))
+    items = [(i % 50 if i % 7 else None, f"{opening} " + " ".join(f"x{i}y{k}" for k in range(9))) for i in range(120)]
+    docs = [(d, f"so {opening} end" if d % 3 else "nothing of it") for d in range(30)] + [(None, opening), (4, None)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    a, b = (sorted(map(str, f(*frames).collect())) for f in (L.leaks, L.leaks_joined))
+    assert a == b and len(a) == 120 * 21 and all("exact_run=16" in x for x in a)
 
 
 def test_seeds_hit_every_accepted_overlap():
@@ -105,6 +117,8 @@ def test_tolerant_overlaps_match_brute_force(spark):
                     at, size, wrong, run = found
                     row = (run, size, -(lo + off + at), -(lo + at), wrong)
                     want[i, d] = max(want.get((i, d), row), row)
-    got = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["item_id"], r["doc_id"]): (r["exact_run"], r["words"], -r["doc_word"], -r["item_word"], r["substitutions"]) for r in got} == want
-    assert len(got) == len(want) and sum(w[4] > 1 and w[0] < 9 for w in want.values()) > 20
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for got in (L.leaks(*frames).collect(), L.leaks_joined(*frames).collect()):
+        assert {(r["item_id"], r["doc_id"]): (r["exact_run"], r["words"], -r["doc_word"], -r["item_word"], r["substitutions"]) for r in got} == want
+        assert len(got) == len(want)
+    assert sum(w[4] > 1 and w[0] < 9 for w in want.values()) > 20
