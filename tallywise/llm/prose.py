@@ -15,7 +15,11 @@ _SAYS = re.compile(r"^(?:On \S+ )?\S+ (?:wrote|said|schrieb|escribió|a écrit)
 _SIGN = re.compile(r"^(?:-- ?|={5,}|_{5,}|-{5,}|\*{5,}|~{3,})$|^<hr ?/?>", re.I)
 _SIGN_LINE = re.compile(r"^(?:~\S+~|\[size=1\].*\[/size\]|(?:sent from|gesendet von|enviado desde|envoyé de) .{0,60})$", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•–+]\s+|\(?\d{1,3}[.)]\s+|\(?[a-z][.)]\s+|\[[ xX]\]|<li\b|</?[uo]l>)", re.I)
-_TABLE = re.compile(r"\t|\|.*\||\S {2,}\S|</?t[drh]\b|</?table\b|^\+[-+]+\+$|^[-| :]+$|^[^,]*(?:,(?! )[^,]*)+$|^[^;]*(?:;(?! )[^;]+)+$|^[^:.!?]{1,40}: ?\S+(?: \S+){0,9}$")
+_GAP = re.compile(r"\S {2,}\S")
+_CELL = re.compile(r"</?t[drh]\b|</?table\b", re.I)
+_FRAME = re.compile(r"^\+[-+]+\+$")
+_PAIR = re.compile(r"^[^:.!?]{1,40}: ?\S+(?: \S+){0,9}$")
+_ITEM_HEAD = frozenset("-*•–+([<")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _STOPS = frozenset(".!?…:;")
 _SYMBOL = re.compile(r"[^\w\s]|_")
@@ -118,13 +122,34 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def _is_item(line: str) -> bool:
+    """Whether a line begins like an item of a list."""
+    x = line.lstrip()
+    return bool(x) and (x[0] in _ITEM_HEAD or x[0].isdigit() or x[1:2] in (".", ")")) and _ITEM.match(line) is not None
+
+
+def _is_row(line: str) -> bool:
+    """Whether a line looks like a row of a table: cells between tabs, bars, wide gaps or tags, frames, values after each comma or semicolon, a name and its value."""
+    return (
+        "\t" in line
+        or line.count("|") > 1
+        or ("  " in line and _GAP.search(line) is not None)
+        or ("<" in line and _CELL.search(line) is not None)
+        or ("," in line and ", " not in line)
+        or (";" in line and "; " not in line and ";;" not in line and line[-1] != ";")
+        or not line.strip("-| :")
+        or (line[0] == "+" and _FRAME.match(line) is not None)
+        or (":" in line and _PAIR.match(line) is not None)
+    )
+
+
 def _runs(own: str) -> Iterable[tuple[str, list[str]]]:
     """Runs of lines of one kind (item, table or text) within blocks."""
     for block in blocks(own):
         kind, run = None, []
         for line in block:
             shape = html.unescape(line) if "&" in line else line
-            k = "item" if _ITEM.match(shape) else "table" if _TABLE.search(shape) else "text"
+            k = "item" if _is_item(shape) else "table" if _is_row(shape) else "text"
             if run and k != kind:
                 yield kind, run
                 run = []
