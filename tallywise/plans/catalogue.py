@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywise import options
 from tallywise.operators import costdiff, grouping, pricing, records, status
+from tallywise.plans.scale import checkpoint_dir
+from tallywise.render import grid, views
+from tallywise.sources import prices
+from tallywise.sources.lines import numbered_lines, text_files
 from tallywise.sources.status import parse_status
 from tallywise.sources.tables import table
 from tallywise.sources.transcripts import parse_lines
@@ -252,6 +260,63 @@ def raw_usage_rows(spark, d):
     return r.select(F.col("line").alias("raw_id"), "request_id", "message_id", "model", F.unix_micros("record_timestamp").alias("us"), "input_tokens", "output_tokens", F.coalesce("cache_creation_tokens", F.lit(0)).alias("cache_creation_tokens"))
 
 
+def _text_rows(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(n, x) for n, x in enumerate(text.split("\n"))], "n int, line string")
+
+
+def report_usage_csv(spark, d):
+    """The CSV of a report as written, line by line."""
+    rows = [r.asDict() for r in grouping.in_order(grouping.breakdown(_priced(spark, d), ("month", "model"))).collect()]
+    return _text_rows(spark, grid.to_csv(views.breakdown_grid(rows, "Month / Model", "off")))
+
+
+def report_status_csv(spark, d):
+    """The CSV of the sessions' view as written."""
+    rows = [r.asDict() for r in status.sessions(_status(spark, d)).orderBy("session_id").collect()]
+    g = views.status_grid(rows, "session", mode="off")
+    g.headers = grid.long_headers(g)
+    return _text_rows(spark, grid.to_csv(g))
+
+
+def report_json(spark, d):
+    """A JSON report read back."""
+    rows = [r.asDict() for r in grouping.in_order(grouping.breakdown(_priced(spark, d), ("model", "month"))).collect()]
+    doc = json.loads(views.breakdown_json(rows, {}, {}))
+    flat = [(p["label"], c["label"], c["inputTokens"], c["outputTokens"]) for p in [*doc["data"], doc["totals"]] for c in [{**p, "label": None}, *p["children"]]]
+    return spark.createDataFrame(flat, "label string, child string, input_tokens long, output_tokens long")
+
+
+def line_numbers(spark, d):
+    """Bodies written as text files, one folder per log file, listed and read with the numbers of their lines."""
+    t = table(spark, d, "raw_lines").where("file_id is not null and body is not null").select("file_id", "line_no", "raw_id", F.regexp_replace("body", r"[\r\n]+", " ").alias("body"))
+    root = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    t.repartition("file_id").sortWithinPartitions("file_id", "line_no", "raw_id").select("file_id", "body").write.partitionBy("file_id").option("compression", "none").text(root)
+    lines = numbered_lines(spark, text_files(spark, root, ".txt"))
+    return lines.select(F.regexp_extract("file_path", r"file_id=(\d+)", 1).cast("long").alias("file_id"), "line", "body")
+
+
+def range_shortcut(spark, d):
+    """The hours before a wall time."""
+    first, last = options.date_range(None, None, {"5hto": "2025-10-05 12:00"})
+    return records.select_records(_tokens(spark, d), "record_timestamp", first, last, options.zone(TZ)).select("record_id")
+
+
+def catalog_overlay(spark, d):
+    """A user's catalog over another; its entries replace those of the same name."""
+    base = table(spark, d, "price_catalog")
+    own = base.where("length(model) % 2 = 0").withColumns({p: F.col(p) * 2 for p in pricing.PRICES}).unionByName(base.limit(1).select(F.lit("new").alias("model"), *[F.lit(1.0).alias(p) for p in pricing.PRICES]))
+    return pricing.overlay(base, own).select("model", *[F.round(F.col(p) * 1e6, 4).alias(p) for p in pricing.PRICES])
+
+
+def live_catalog(spark, d):
+    """Names of a live list brought to catalog names; only given providers, entries with a price, and the first of a name count."""
+    rows = table(spark, d, "price_catalog").collect()  # a fixed table
+    live = {f"some/{r['model']}-v{i}:0": {"input_cost_per_token": r["input_cost_per_token"], "output_cost_per_token": 1} for i, r in enumerate(rows)}
+    live |= {f"other/{r['model']}": {"input_cost_per_token": 9.0} for r in rows} | {f"some/zz-{r['model']}": {"input_cost_per_token": "x"} for r in rows}
+    got = prices.normalise_live(live, ["some/"])
+    return spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(got.items())], prices.SCHEMA)
+
+
 _GROUPS = {
     "group_day": ("day",), "group_month": ("month",), "group_session": ("session",), "group_project": ("project",), "group_model": ("model",),
     "group_subagent": ("subagent",), "group_tool": ("tool",), "group_line": ("line",), "group_two_level_cube": ("day", "model"),
@@ -265,7 +330,7 @@ def queries() -> dict:
         record_names, path_parts, tool_combinations, price_lookup_tiers, unpriced_models, cost_lines, group_empty_totals, group_line_sorted, display_tokens,
         chart_series_auto, chart_series_groups, status_counts, reset_segments, cumulative_totals, session_summary, by_project, by_day, session_totals,
         cumulative_cost, action_changes, windows_range_filter, status_filters, promo_overlap, cost_diff_exact, cost_diff_prefix, cost_diff_totals,
-        raw_status_rows, raw_status_counts, raw_usage_rows,
+        raw_status_rows, raw_status_counts, raw_usage_rows, report_usage_csv, report_status_csv, report_json, line_numbers, range_shortcut, catalog_overlay, live_catalog,
     )
     out = {f.__name__: f for f in fs}
     out |= {k: _breakdown(*v) for k, v in _GROUPS.items()}
@@ -483,6 +548,52 @@ k AS (SELECT raw_id, j, coalesce(json_type(j) = 'OBJECT' AND {' AND '.join(statu
 _DIFF_ROWS = f" SELECT session_id, matched_id, round(total_cost_usd + {NUDGE}, {DIGITS}) AS total_cost_usd, round(computed_cost + {NUDGE}, {DIGITS}) AS computed_cost, round(diff + {NUDGE}, {DIGITS}) AS diff, round(CASE WHEN abs(computed_cost) > 1e-9 THEN diff / computed_cost * 100 END + {NUDGE}, 3) AS diff_pct FROM d"
 
 
+def _csv_sql() -> dict[str, str]:
+    tok = lambda n: f"CASE WHEN {n} >= 1000000 THEN printf('%.2fM', {n} / 1e6) WHEN {n} >= 1000 THEN printf('%.1fK', {n} / 1e3) ELSE CAST({n} AS VARCHAR) END"
+    a, b, c, o = "coalesce(input_tokens, 0)", "coalesce(cache_creation_tokens, 0)", "coalesce(cache_read_tokens, 0)", "coalesce(output_tokens, 0)"
+    cells = " || ',' || ".join(tok(f"({x})") for x in (a, b, c, f"{a} + {b} + {c}", o, f"{a} + {b} + {c} + {o}"))
+    took = lambda ms: f"""CASE WHEN {ms} // 3600000 > 0 THEN ({ms} // 3600000) || 'h ' || ({ms} // 60000 % 60) || 'm'
+      WHEN {ms} // 60000 > 0 THEN ({ms} // 60000) || 'm ' || ({ms} // 1000 % 60) || 's' ELSE ({ms} // 1000) || 's' END"""
+    pct = lambda w: f"CASE WHEN {w[0]} IS NULL THEN '—' WHEN {w[0]} = {w[1]} THEN {w[0]} || '%' ELSE {w[0]} || '–' || {w[1]} || '%' END"
+    use = lambda f: (
+        f"'—,' || {took(f.format('total_duration_ms'))} || ',' || {took(f.format('total_api_duration_ms'))} || ',+' || {f.format('total_lines_added')} || ' -' || {f.format('total_lines_removed')}"
+        f" || ',' || {f.format('segments')} || ',' || "
+    )
+    week = ("min_seven_day_pct", "max_seven_day_pct")
+    five = ("min_five_hour_pct", "max_five_hour_pct")
+    outer = lambda w: (f"min({w[0]})", f"max({w[1]})")
+    month, model = _key("month"), _key("model")
+    return {
+        "report_usage_csv": f"""WITH {_PRICED},
+g AS (SELECT {month} AS p, {model} AS c, grouping({month}) AS gp, grouping({model}) AS gc, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens,
+  sum(cache_creation_tokens) AS cache_creation_tokens, sum(cache_read_tokens) AS cache_read_tokens FROM priced GROUP BY CUBE ({month}, {model})),
+l AS (
+  SELECT CASE WHEN gp = 0 AND gc = 0 THEN '└─ ' || coalesce(c, '') WHEN gp = 0 THEN coalesce(p, '') WHEN gc = 0 THEN '└─ ' || coalesce(c, '') ELSE 'TOTAL' END || ',' || {cells} AS line,
+    row_number() OVER (ORDER BY gp, p NULLS FIRST, CASE WHEN gp = 0 THEN 1 - gc ELSE 1 - gc END, c NULLS FIRST) AS n
+  FROM g)
+SELECT CAST(n AS INT) AS n, line FROM l UNION ALL SELECT 0, 'Month / Model,In,Cache Cr,Cache Rd,In Total,Out,Total'""",
+        "report_status_csv": f"""WITH {_SESSIONS},
+t AS (SELECT sum(total_duration_ms)::BIGINT AS total_duration_ms, sum(total_api_duration_ms)::BIGINT AS total_api_duration_ms, sum(total_lines_added)::BIGINT AS total_lines_added,
+  sum(total_lines_removed)::BIGINT AS total_lines_removed, sum(segments)::BIGINT AS segments, {', '.join(f'{f} AS {n}' for w in (five, week) for f, n in zip(outer(w), w, strict=True))}, count(*) AS k FROM sess)
+SELECT CAST(row_number() OVER (ORDER BY session_id) AS INT) AS n, session_id[1:8] || ',' || {use('{}')} {pct(five)} || ',' || {pct(week)} AS line FROM sess
+UNION ALL SELECT CAST(k + 1 AS INT), 'TOTAL,' || {use('{}')} {pct(five)} || ',' || {pct(week)} FROM t
+UNION ALL SELECT 0, 'Session,Cost,Duration,API Time,Lines,Segments,5h%,1w%'""",
+        "report_json": f"""WITH {_PRICED}
+SELECT CASE WHEN grouping({model}) = 1 THEN 'TOTAL' ELSE {model} END AS label, {month} AS child, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
+FROM priced GROUP BY CUBE ({model}, {month})""",
+        "line_numbers": r"""
+WITH l AS (SELECT file_id, line_no, raw_id, regexp_replace(regexp_replace(body, '[\r\n]+', ' ', 'g'), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g') AS body FROM raw_lines WHERE file_id IS NOT NULL AND body IS NOT NULL)
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY line_no NULLS FIRST, raw_id) AS INT) AS line, body FROM l WHERE body <> ''""",
+        "range_shortcut": f"""SELECT record_id FROM token_records WHERE (model IS NULL OR model <> '<synthetic>')
+AND strftime(record_timestamp AT TIME ZONE '{TZ}', '%Y-%m-%dT%H:%M:%S') BETWEEN '2025-10-05T07:00:00' AND '2025-10-05T12:00:00'""",
+        "catalog_overlay": "SELECT model, "
+        + ", ".join(f"round({p} * CASE WHEN length(model) % 2 = 0 THEN 2 ELSE 1 END * 1e6, 4) AS {p}" for p in pricing.PRICES)
+        + " FROM price_catalog UNION ALL SELECT 'new', "
+        + ", ".join(["1e6"] * len(pricing.PRICES)),
+        "live_catalog": f"SELECT replace(model, '@', '-') AS model, {pricing.PRICES[0]}, 1.0::DOUBLE AS {pricing.PRICES[1]}, 0.0::DOUBLE AS {pricing.PRICES[2]}, 0.0::DOUBLE AS {pricing.PRICES[3]} FROM price_catalog",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     wall = "strftime(record_timestamp AT TIME ZONE '{}', '%Y-%m-%dT%H:%M:%S')".format(TZ)
     edge = lambda c: f"strftime(to_timestamp({c}) AT TIME ZONE '{TZ}', '%Y-%m-%dT%H:%M:%S')"
@@ -567,5 +678,6 @@ epoch_us(try_cast(j ->> '$.timestamp' AS TIMESTAMPTZ)) AS us, {n('message.usage.
 FROM k WHERE used AND coalesce(j ->> '$.type', 'message') IN ('message', 'user', 'assistant') AND j ->> '$.message.model' <> '<synthetic>'
 AND j ->> '$.message.usage.input_tokens' IS NOT NULL AND j ->> '$.message.usage.output_tokens' IS NOT NULL""",
     }
+    out |= _csv_sql()
     out |= {k: _group_sql(v) for k, v in _GROUPS.items()} | {"group_tz": _group_sql(("hour",), TZ)}
     return out | {f"data_driven_windows_{k}": _window_sql(k) for k in ("1h", "5h", "1w")}

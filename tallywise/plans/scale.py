@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast after its size was counted.
 BROADCAST_ROWS = 200_000
-#: Most hot keys that :func:`hot_keys` can return; a hot key holds more than
-#: 1/HOT_KEYS of all rows, so there can't be more of them.
-HOT_KEYS = 2_000
-#: Smallest number of rows that makes a key hot.
-HOT_ROWS = 50_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -103,27 +98,6 @@ def join_checked(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     return left.join(F.broadcast(right) if small_or_none(right, most) else right, list(on), how)
 
 
-def hot_keys(counts: DataFrame, rows: int, n: str = "n") -> DataFrame:
-    """Keys of ``counts`` that hold more than ``max(HOT_ROWS, rows / HOT_KEYS)`` rows.
-
-    At most HOT_KEYS of them can exist, so the result may be broadcast.
-    """
-    return counts.where(F.col(n) > max(HOT_ROWS, rows // HOT_KEYS))
-
-
-def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: int, n: str = "n") -> DataFrame:
-    """Inner join with a table that has one row per key and the number ``n`` of left rows of that key.
-
-    Keys that are hot by that number are few and are broadcast; the rest is joined
-    by shuffle. Keys must not be null. ``right`` is read more than once.
-    """
-    on = list(on)
-    hot = hot_keys(right, rows, n)
-    names = F.broadcast(hot.select(*on))
-    warm = left.join(F.broadcast(hot), on)
-    return warm.unionByName(left.join(names, on, "left_anti").join(right.join(names, on, "left_anti"), on))
-
-
 def dense_partitions(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` range-partitioned on keys and order, with its partition number ``__pid``, frozen.
 

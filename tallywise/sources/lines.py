@@ -24,19 +24,21 @@ def exists(spark: SparkSession, url: str) -> bool:
     return fs.exists(at)
 
 
-def jsonl_files(root: str, spark: SparkSession | None = None) -> list[str]:
-    """All ``*.jsonl`` below a folder, also those with hidden names; unreadable folders count as empty.
+def text_files(spark: SparkSession, url: str, end: str) -> list[str]:
+    """Files below a URL by their Hadoop file system, recursively, as object stores list them in few calls."""
+    fs, at = _file_system(spark, url)
+    found, it = [], fs.listFiles(at, True)
+    while it.hasNext():
+        name = it.next().getPath().toString()
+        if name.endswith(end):
+            found.append(name)
+    return sorted(found)
 
-    A URL is listed by its Hadoop file system, recursively, as object stores do it in few calls.
-    """
+
+def jsonl_files(root: str, spark: SparkSession | None = None) -> list[str]:
+    """All ``*.jsonl`` below a folder or URL, also those with hidden names; unreadable folders count as empty."""
     if "://" in root:
-        fs, at = _file_system(spark, root)
-        found, it = [], fs.listFiles(at, True)
-        while it.hasNext():
-            name = it.next().getPath().toString()
-            if name.endswith(".jsonl"):
-                found.append(name)
-        return sorted(found)
+        return text_files(spark, root, ".jsonl")
     found = []
     for base, _, names in os.walk(root, followlinks=True):
         found += [os.path.join(base, n) for n in names if n.endswith(".jsonl")]
