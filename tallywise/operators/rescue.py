@@ -207,10 +207,12 @@ def names_target(path: str, t: Target) -> bool:
     return bool(last) and all(i & set(have) for i in ideas) and all(w in own or w in GENERIC for w in have)
 
 
-def paths(ingested: DataFrame) -> DataFrame:
-    """(path, lines): rescued paths with a value other than null."""
-    d = ingested.select(F.explode(F.map_keys(F.map_filter("_rescued", lambda k, x: x["kind"].isNotNull()))).alias("path"))
-    return d.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+def paths(ingested: DataFrame, file: str = "file_id") -> DataFrame:
+    """(file, path, lines, number): the rescued paths of each file with a value other than null; ``number`` if some value may be one, as text or within an object."""
+    some = F.map_entries(F.map_filter("_rescued", lambda k, x: x["kind"].isNotNull()))
+    d = ingested.select(file, F.explode(some).alias("x")).select(file, F.col("x.key").alias("path"), F.col("x.value.kind").alias("k"), F.col("x.value.json").alias("j"))
+    may = F.col("k").isin("integer", "decimal", "object") | ((F.col("k") == "string") & F.col("j").rlike(r'^"-?[0-9.]+"$'))
+    return d.groupBy(file, "path").agg(F.count(F.lit(1)).alias("lines"), F.max(may).alias("number"))
 
 
 def approve(found: DataFrame, targets: tuple[Target, ...] = LOG_LINES, more: Registry | None = None) -> dict[str, list[str]]:
@@ -238,7 +240,7 @@ def approve(found: DataFrame, targets: tuple[Target, ...] = LOG_LINES, more: Reg
 
 def candidates(
     ingested: DataFrame, files: DataFrame, targets: tuple[Target, ...] = LOG_LINES, trace: tuple[str, ...] = WATCHED, approved: Registry | None = None,
-    file: str = "file_id", stream: str = "stream_id", opened: str = "opened_at",
+    found: DataFrame | None = None, file: str = "file_id", stream: str = "stream_id", opened: str = "opened_at",
 ) -> DataFrame:
     """(field_name, path, files, together, expected, swaps, accepted): rescued paths of numbers that may be a target under a new name.
 
@@ -246,19 +248,18 @@ def candidates(
     stream's file before had without the path; ``together`` files that have both, and
     ``expected`` how many would by chance. ``accepted`` asks for CHANCE, SWAPS, no file
     with both, and no other target of which that holds. Targets and approved paths, what is above and what is
-    below them aren't listed.
+    below them aren't listed. ``found`` are the :func:`paths`, if they are at hand.
     """
     root = {t.name: t.path.split(".")[0] for t in targets}
-    shown = promote(ingested, targets, trace, approved)
-    skip = [p for t in targets for p in (t.path, *(approved or {}).get(t.name, ()))]
+    found = materialise(paths(ingested, file)) if found is None else found
+    ways = {t.name: (t.path, *(approved or {}).get(t.name, ())) for t in targets}
+    skip = [p for w in ways.values() for p in w]
     above = {".".join(p.split(".")[:i]) for p in skip for i in range(1, p.count(".") + 1)}
-
-    def open_(k: Column) -> Column:
-        return ~k.isin(*skip, *above) & ~F.exists(F.array(*[F.lit(p + ".") for p in skip]), lambda p: k.startswith(p))
-
-    seen = shown.groupBy(file).agg(*[F.max(F.col(f"{n}__kind").isNotNull()).alias(n) for n in trace])
-    numbers = F.map_filter("_rescued", lambda k, x: (x["json"].rlike(r'^"?-?[0-9.]+"?$') | (x["kind"] == "object")) & open_(k))
-    new = ingested.select(file, F.explode(F.map_keys(numbers)).alias("path")).distinct()
+    own = ingested.groupBy(file).agg(*[F.max(F.col(n).isNotNull()).alias(n) for n in trace])
+    other = found.where(F.col("path").isin(*[p for n in trace for p in ways[n]])).groupBy(file).agg(*[F.max(F.col("path").isin(*ways[n])).alias(n) for n in trace])
+    seen = own.unionByName(other).groupBy(file).agg(*[F.max(n).alias(n) for n in trace])
+    below = F.exists(F.array(*[F.lit(p + ".") for p in skip]), lambda p: F.startswith(F.col("path"), p))
+    new = found.where(F.col("number") & ~F.col("path").isin(*skip, *above) & ~below).select(file, "path")
     d = files.select(file, stream, opened).where(F.col(stream).isNotNull() & F.col(opened).isNotNull()).join(seen, file, "left")
     d = Ordered(d, [stream], [opened]).lag([file, *trace]).df
     for n in trace:

@@ -41,8 +41,9 @@ def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines read once and written with what they rescued; then names for the targets are looked up among the rescued paths."""
     d = materialise(rescue.ingest(table(spark, sf_dir, "raw_lines").select("raw_id", "file_id", "body")))
-    known = rescue.approve(rescue.paths(d))
-    known = rescue.accept(rescue.candidates(d, table(spark, sf_dir, "log_files"), approved=known), known)
+    found = materialise(rescue.paths(d))
+    known = rescue.approve(found)
+    known = rescue.accept(rescue.candidates(d, table(spark, sf_dir, "log_files"), approved=known, found=found), known)
     return rescue.promote(d, approved=known)
 
 

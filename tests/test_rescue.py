@@ -34,7 +34,7 @@ def test_replay_of_names_and_objects(spark):
         json.dumps({"message": {"usage": {"cache": {"creation": {"short_lived": 2, "long_lived": 3}}}}}),
     ]
     d = S.ingest(spark.createDataFrame(list(enumerate(bodies)), "raw_id long, body string"))
-    p = S.promote(d, approved=S.approve(S.paths(d))).orderBy("raw_id").collect()
+    p = S.promote(d, approved=S.approve(S.paths(d, "raw_id"))).orderBy("raw_id").collect()
     assert [r["total_lines_added"] for r in p] == [4, 5, 6, None, None] and p[4]["cache_creation_input_tokens"] == 5
     assert [r["total_lines_added__place"] for r in p[:4]] == ["data.cost.loc_added", "data.cost.lines_added", "data.diff.insertions", "data.cost.added_lines"]
     assert "data.cost.added_lines" in p[3]["_rescued"]
@@ -78,9 +78,9 @@ def test_names_in_other_words(spark):
     assert S.words("a.totalLOCAdded_in-2 tage.Größe") == ["a", "total", "loc", "added", "in", "2", "tage", "gr", "öß", "e"]
     lines = [{"data": {"lines": {"added": 1}}}, {"message": {"cacheCreation": {"inputTokens": {"short_lived": 1}}}}, {"data": {"diff": {"deletions": None}}}, {"data": {"cost": {"added_lines": {"count": 2}}}}]
     d = S.ingest(spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "raw_id long, body string"))
-    known = S.approve(S.paths(d), more={"total_lines_removed": ["data.gone"]})
+    known = S.approve(S.paths(d, "raw_id"), more={"total_lines_removed": ["data.gone"]})
     assert known["total_lines_added"] == ["data.cost.added_lines", "data.lines.added"] and known["total_lines_removed"] == ["data.gone"]
-    assert known["cache_creation_input_tokens"] == ["message.cacheCreation.inputTokens"] and S.approve(S.paths(d.where("false")))["ts"] == []
+    assert known["cache_creation_input_tokens"] == ["message.cacheCreation.inputTokens"] and S.approve(S.paths(d.where("false"), "raw_id"))["ts"] == []
 
 
 def test_unknown_name_is_found_by_where_it_stands(spark):
