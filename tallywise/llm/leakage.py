@@ -35,8 +35,9 @@ SIMILARITY = 0.8
 GAP = 2
 #: Most characters of test items whose seeds and words every task holds. The seeds of more items are joined by shuffle.
 HELD_CHARS = 19_000_000
-#: Bits of the filter of the shuffled join, at most: 128 MB.
-MOST_BITS = 30
+#: Bits of the filter of the shuffled join for each seed of the items, and at most (2 ** 30 are 128 MB). Up to there about one window
+#: in 80,000 passes by chance; beyond, more windows are joined, with the same result.
+SEED_BITS, MOST_BITS = 64, 30
 _FILTER_BITS = 22
 
 
@@ -194,6 +195,15 @@ def _all_seeds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p for p, _ in found]), np.concatenate(turn)
 
 
+#: Odd multipliers of the filter's places, from a fixed seed.
+_TURNS = _mixers(4)
+
+
+def _place(h: np.ndarray, k: int, size: int) -> np.ndarray:
+    """Places of hashes in a filter of 2 ** ``size`` bits, in its ``k``-th turn."""
+    return (h * _TURNS[k]) >> np.uint64(64 - size)
+
+
 def leaks_joined(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The same as :func:`leaks` for any number of items: seeds meet in a shuffled join.
 
@@ -215,9 +225,17 @@ def leaks_joined(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(p), n)), pa.array(p.astype(np.int32))], names=["_h", "_item", "_q"])
 
     table = materialise(it.select("_item", "_it").mapInArrow(item_seeds, "_h bigint, _item bigint, _q int"))
-    size = min(MOST_BITS, max(16, int(table.count() * 16).bit_length()))
-    bit = F.shiftrightunsigned("_h", 64 - size)
-    cells = table.groupBy(F.shiftright(bit, 6).alias("c")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("b")).toPandas()  # at most 2 ** (MOST_BITS - 6)
+    size = min(MOST_BITS, max(16, int(table.count() * SEED_BITS).bit_length()))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate([_place(b.column(0).to_numpy().view(np.uint64), k, size) for k in range(len(_TURNS))])
+            cells, back = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(cells), np.uint64)
+            np.bitwise_or.at(bits, back, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(bits.view(np.int64))], names=["c", "b"])
+
+    cells = table.select("_h").mapInArrow(marks, "c bigint, b bigint").groupBy("c").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (MOST_BITS - 6)
     mask = np.zeros(1 << size - 6, np.int64)
     mask[cells["c"].to_numpy(np.int64)] = cells["b"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(mask.view(np.uint64))
@@ -229,9 +247,11 @@ def leaks_joined(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
             rows, hs, ps = [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 p, h = _all_seeds(_hashes(t, known))
-                at = h >> np.uint64(64 - size)
-                hit = bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-                if hit.any():
+                hit = np.arange(len(h))
+                for k in range(len(_TURNS)):
+                    at = _place(h[hit], k, size)
+                    hit = hit[bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1]
+                if len(hit):
                     rows.append(i)
                     hs.append(h[hit].view(np.int64))
                     ps.append(p[hit].astype(np.int32))
