@@ -243,21 +243,27 @@ def leaks_joined(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         bits = shared.value
-        for b in batches:
-            rows, hs, ps = [], [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                p, h = _all_seeds(_hashes(t, known))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                b = batch.slice(low, 1000)
+                # All texts in one array, so that masks are laid over all at once.
+                parts = [_hashes(t, known) for t in b.column(2).to_pylist()]
+                start = np.cumsum([0, *[len(x) + SPAN for x in parts[:-1]]])
+                pad = np.zeros(SPAN, np.uint64)
+                p, h = _all_seeds(np.concatenate([y for x in parts for y in (x, pad)]))
                 hit = np.arange(len(h))
                 for k in range(len(_TURNS)):
                     at = _place(h[hit], k, size)
                     hit = hit[bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1]
-                if len(hit):
-                    rows.append(i)
-                    hs.append(h[hit].view(np.int64))
-                    ps.append(p[hit].astype(np.int32))
-            if rows:
-                few = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(hs, pa.list_(pa.int64())), pa.array(ps, pa.list_(pa.int32()))], names=["_doc", "_d", "_dt", "_hs", "_ps"])
+                if not len(hit):
+                    continue
+                owner = np.searchsorted(start, p[hit], "right") - 1
+                order = np.argsort(owner, kind="stable")
+                hit, owner = hit[order], owner[order]
+                rows, at = np.unique(owner, return_index=True)
+                ends = pa.array(np.append(at, len(hit)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h[hit].view(np.int64), (p[hit] - start[owner]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows)).columns, *lists], names=["_doc", "_d", "_dt", "_hs", "_ps"])
 
     first = docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(doc).alias("_d"), F.col(text).alias("_dt"))
     near = materialise(first.mapInArrow(doc_seeds, f"_doc bigint, _d {docs.schema[doc].dataType.simpleString()}, _dt string, _hs array<bigint>, _ps array<int>"))
