@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.functions.json import plain, refuse
 from tallywise.plans.ordered import Ordered
 from tallywise.plans.scale import materialise
 
@@ -89,16 +90,7 @@ def _kind(x: object) -> str | None:
     return {float: "decimal", str: "string", dict: "object"}.get(type(x), "array")
 
 
-def _refuse(name: str) -> None:
-    raise ValueError(name)
-
-
-_DECODER = json.JSONDecoder(parse_constant=_refuse)
-
-
-def _plain(text: str) -> str:
-    """Characters that UTF-8 doesn't have as escapes."""
-    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+_DECODER = json.JSONDecoder(parse_constant=refuse)
 
 
 def _fits(x: object, kind: str) -> bool:
@@ -106,13 +98,13 @@ def _fits(x: object, kind: str) -> bool:
         return type(x) is int and -_LONG <= x < _LONG
     if kind == "double":
         return type(x) in (int, float) and abs(x) < 1e300
-    return isinstance(x, str) and _plain(x) == x
+    return isinstance(x, str) and plain(x) == x
 
 
 def _json(x: object) -> str:
     if type(x) is int:
         return str(x)
-    return "null" if x is None else _plain(json.dumps(x, separators=(",", ":"), ensure_ascii=False))
+    return "null" if x is None else plain(json.dumps(x, separators=(",", ":"), ensure_ascii=False))
 
 
 @cache
@@ -137,7 +129,7 @@ def read_line(body: str | None, targets: tuple[Target, ...], boxes: frozenset[st
 
     def walk(inside: dict, prefix: str) -> None:
         for k, x in inside.items():
-            path = prefix + _plain(k)
+            path = prefix + plain(k)
             i = at.get(path)
             if i is not None and _fits(x, targets[i].type):
                 typed[i] = float(x) if targets[i].type == "double" else x

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.functions.json import Field, fits, text, whole
+from tallywise.functions.json import Field, read, text, value
 from tallywise.operators.status import percent
 from tallywise.sources.lines import numbered_lines
 
@@ -26,28 +26,35 @@ _SHARES = {
 _RESETS = {"five_hour_resets_at": "data.rate_limits.five_hour.resets_at", "seven_day_resets_at": "data.rate_limits.seven_day.resets_at"}
 
 
+_FIELDS = [
+    Field("ts", ("integer",), need=True),
+    Field("data.cost.total_cost_usd", ("integer", "decimal"), need=True),
+    *[Field(p, ("string",), need=True) for p in _TEXTS.values()],
+    *[Field(p, ("integer",), need=True, count=True) for p in _COUNTS.values()],
+    *[Field(p, ("string",), null=False) for p in _OPTIONAL_TEXTS.values()],
+    *[Field(p, ("integer",), null=False, count=True) for p in _OPTIONAL_COUNTS.values()],
+    *[Field(p, ("integer", "decimal")) for p in _SHARES.values()],
+    *[Field(p, ("integer",)) for p in _RESETS.values()],
+]
+
+
+def _snapshot(x: dict) -> list:
+    real = lambda p: None if (v := value(x, p)) is None else float(v)
+    return [
+        value(x, "ts"), *[text(value(x, p)) for p in _TEXTS.values()], *[text(value(x, p)) or "" for p in _OPTIONAL_TEXTS.values()], real("data.cost.total_cost_usd"),
+        *[value(x, p) for p in _COUNTS.values()], *[value(x, p) or 0 for p in _OPTIONAL_COUNTS.values()], *[real(p) for p in _SHARES.values()], *[value(x, p) for p in _RESETS.values()],
+    ]
+
+
 def parse_status(lines: DataFrame) -> DataFrame:
     """Every line with ``ok`` (all required fields there and of the right type) and the status columns; ``snap_id`` is the line."""
-    v = F.col("_v")
-    d = lines.withColumn("_v", F.try_parse_json("body"))
-    fields = [
-        Field("ts", ("integer",), need=True),
-        Field("data.cost.total_cost_usd", ("integer", "decimal"), need=True),
-        *[Field(p, ("string",), need=True) for p in _TEXTS.values()],
-        *[Field(p, ("integer",), need=True, count=True) for p in _COUNTS.values()],
-        *[Field(p, ("string",), null=False) for p in _OPTIONAL_TEXTS.values()],
-        *[Field(p, ("integer",), null=False, count=True) for p in _OPTIONAL_COUNTS.values()],
-        *[Field(p, ("integer", "decimal")) for p in _SHARES.values()],
-        *[Field(p, ("integer",)) for p in _RESETS.values()],
-    ]
-    real = lambda p: F.try_variant_get(v, f"$.{p}", "double")
-    return d.select(
-        fits(v, fields).alias("ok"), F.col("line").cast("long").alias("snap_id"), whole(v, "ts").alias("ts"),
-        *[text(v, p).alias(n) for n, p in _TEXTS.items()], *[F.coalesce(text(v, p), F.lit("")).alias(n) for n, p in _OPTIONAL_TEXTS.items()],
-        real("data.cost.total_cost_usd").alias("total_cost_usd"), *[whole(v, p).alias(n) for n, p in _COUNTS.items()],
-        *[F.coalesce(whole(v, p), F.lit(0)).alias(n) for n, p in _OPTIONAL_COUNTS.items()],
-        *[percent(real(p)).alias(n) for n, p in _SHARES.items()], *[whole(v, p).alias(n) for n, p in _RESETS.items()],
-    )
+    typed = [
+        "ts bigint", *[f"{n} string" for n in (*_TEXTS, *_OPTIONAL_TEXTS)], "total_cost_usd double", *[f"{n} bigint" for n in (*_COUNTS, *_OPTIONAL_COUNTS)],
+        *[f"{n} double" for n in _SHARES], *[f"{n} bigint" for n in _RESETS],
+    ]
+    names = [t.split()[0] for t in typed]
+    d = read(lines.select("line", "body"), _FIELDS, _snapshot, names, ", ".join(typed), all_lines=True)
+    return d.select("ok", F.col("line").cast("long").alias("snap_id"), *[percent(F.col(n)).alias(n) if n in _SHARES else F.col(n) for n in names])
 
 
 def load_status(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

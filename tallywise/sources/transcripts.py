@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.functions.json import Field, fits, get, is_one_of, kind, text, whole
+from tallywise.functions.json import Field, fits, read, text, value
 from tallywise.operators import records
 from tallywise.sources.lines import exists, jsonl_files, numbered_lines
 
@@ -32,36 +32,45 @@ def roots(folder: str | None = None, spark: SparkSession | None = None) -> list[
     return list(dict.fromkeys(os.path.realpath(p) for h in homes if os.path.isdir(p := os.path.join(h, "projects"))))
 
 
+_FIELDS = [
+    *[Field(p, ("string",)) for p in _TEXTS],
+    *[Field(p, ("integer",), count=True) for p in _COUNTS.values()],
+    *[Field(p, ("string", "integer", "decimal")) for p in TIMES],
+    *[Field(p, ("object",)) for p in ("message", "message.usage", "snapshot")],
+    Field("message.content", ("string", "array")),
+]
+_BLOCK = [(Field(p, ("string",)), (p,)) for p in ("type", "name")]
+
+
+def _content(x: dict) -> bool:
+    """Whether the content, if it is an array, has only objects whose type and name are texts."""
+    blocks = value(x, "message.content")
+    return not isinstance(blocks, list) or all(isinstance(b, dict) and fits(b, _BLOCK) for b in blocks)
+
+
+def _message(x: dict) -> list:
+    blocks = value(x, "message.content")
+    tools = [text(b["name"]) for b in blocks if b.get("type") == "tool_use" and b.get("name") is not None] if isinstance(blocks, list) else None
+    times = [("s" if isinstance(v, str) else "n") + text(v) for p in TIMES if (v := value(x, p)) is not None]
+    return [*[text(value(x, p)) for p in _TEXTS], *[value(x, p) for p in _COUNTS.values()], times, tools]
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Message records from numbered lines; lines that don't have the expected types are dropped whole.
 
     Counters must be whole numbers of at least 0, names texts, times texts or
-    numbers, content a text or an array of objects. Null counts as absent.
+    numbers, content a text or an array of objects. Null counts as absent. Of the
+    times the first that parses counts.
     """
-    v = F.col("_v")
-    d = lines.withColumn("_v", F.try_parse_json("body")).drop("body")
-    fields = [
-        *[Field(p, ("string",)) for p in _TEXTS],
-        *[Field(p, ("integer",), count=True) for p in _COUNTS.values()],
-        *[Field(p, ("string", "integer", "decimal")) for p in TIMES],
-        *[Field(p, ("object",)) for p in ("message", "message.usage", "snapshot")],
-        Field("message.content", ("string", "array")),
-    ]
-    content = F.try_variant_get(v, "$.message.content", "array<variant>")
-    blocks = F.forall(content, lambda b: (kind(b) == "object") & is_one_of(b, "type", "string") & is_one_of(b, "name", "string"))
-    d = d.where(fits(v, fields) & F.coalesce(blocks, F.lit(True)))
-    tools = F.transform(F.filter(content, lambda b: (text(b, "type") == "tool_use") & text(b, "name").isNotNull()), lambda b: text(b, "name"))
-    time = F.coalesce(
-        *[F.when(kind(get(v, p)) == "string", records.parse_iso(text(v, p))).otherwise(records.parse_number(text(v, p))) for p in TIMES]
-    )
+    names = ["record_type", "request_id", "message_id", "model", *_COUNTS, "_times", "_tools"]
+    shape = ", ".join([*[f"{n} string" for n in names[:4]], *[f"{n} bigint" for n in _COUNTS], "_times array<string>", "_tools array<string>"])
+    d = read(lines, _FIELDS, _message, names, shape, check=_content)
+    moment = F.transform("_times", lambda t: F.when(t.startswith("s"), records.parse_iso(F.substring(t, F.lit(2), F.length(t)))).otherwise(records.parse_number(F.substring(t, F.lit(2), F.length(t)))))
     where = records.session_agent_of(F.col("file_path"))
     return d.select(
-        "file_path", "modified_at", "line",
-        text(v, "type").alias("record_type"), text(v, "requestId").alias("request_id"), text(v, "message.id").alias("message_id"),
-        text(v, "message.model").alias("model"), time.alias("record_timestamp"),
+        "file_path", "modified_at", "line", *names[:4], F.get(F.array_compact(moment), F.lit(0)).alias("record_timestamp"),
         records.project_of(F.col("file_path")).alias("project"), where["session_id"].alias("session_id"), where["agent_id"].alias("agent_id"),
-        F.coalesce(records.tool_combination(tools), F.lit("")).alias("tool_names"),
-        *[whole(v, p).alias(n) for n, p in _COUNTS.items()],
+        F.coalesce(records.tool_combination(F.col("_tools")), F.lit("")).alias("tool_names"), *_COUNTS,
     )
 
 

@@ -62,6 +62,21 @@ def test_load_status(spark, tree):
     assert d.count() == 0 and tuple(n.first()) == (0, 0)
 
 
+def test_strict_lines(spark):
+    from tallywise.functions.json import Field, fits, kind, parse
+
+    assert [kind(x) for x in (1, 1.0, True, None, "", {}, [], 1 << 63, float("inf"))] == ["integer", "decimal", "boolean", None, "string", "object", "array", "decimal", "too large"]
+    assert all(parse(x) is None for x in (None, "", "[1]", "{", '{"a": NaN}', '{"a": 1, "a": 2}', '{"b": {"a": 1, "a": 2}}', "[" * 90_000, "null")) and parse('{"a": 1}') == {"a": 1}
+    rule = lambda **k: [(Field("a.b", ("integer",), **k), ("a", "b"))]
+    assert fits({}, rule()) and fits({"a": 3}, rule()) and fits({"a": {"b": None}}, rule()) and fits({"a": {"b": -1}}, rule())
+    assert not any((fits({}, rule(need=True)), fits({"a": {"b": None}}, rule(null=False)), fits({"a": {"b": -1}}, rule(count=True)), fits({"a": {"b": 1.0}}, rule()), fits({"a": {"b": True}}, rule())))
+    odd = [message(1, 1, "2025-10-01"), message(2, 1, 1e300), message(3, 1, True), message(4, 1, "x", createdAt=1759312800.5), json.dumps({"message": {"content": [{"type": "tool_use", "name": 3}]}}), json.dumps({"message": {"content": "a"}}), '{"requestId": "\\ud800"}', ""]
+    df = spark.createDataFrame([("/p", None, i, x) for i, x in enumerate(odd)], "file_path string, modified_at timestamp, line int, body string")
+    got = {r["line"]: r for r in transcripts.parse_lines(df).collect()}
+    assert set(got) == {0, 1, 3, 5, 6} and got[0]["record_timestamp"] is None and got[1]["record_timestamp"] is None and got[6]["request_id"] == "\\ud800"
+    assert str(got[3]["record_timestamp"]) == "2025-10-01 10:00:00.500000" and got[3]["tool_names"] == "A, B" and got[5]["tool_names"] == ""
+
+
 def test_replacement_character_is_no_broken_file(spark, tree, tmp_path):
     a = tmp_path / "projects/p"
     a.mkdir(parents=True)
