@@ -287,12 +287,13 @@ def report_json(spark, d):
 
 
 def line_numbers(spark, d):
-    """Bodies written as text files, one folder per log file, listed and read with the numbers of their lines."""
-    t = table(spark, d, "raw_lines").where("file_id is not null and body is not null").select("file_id", "line_no", "raw_id", F.regexp_replace("body", r"[\r\n]+", " ").alias("body"))
+    """Bodies written as text files, one for each fifty log files, listed and read with the numbers of their lines."""
+    t = table(spark, d, "raw_lines").where("file_id is not null and body is not null")
+    t = t.select(F.floor(F.col("file_id") / 50).cast("long").alias("part"), "file_id", "line_no", "raw_id", F.regexp_replace("body", r"[\r\n]+", " ").alias("body"))
     root = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
-    t.repartition("file_id").sortWithinPartitions("file_id", "line_no", "raw_id").select("file_id", "body").write.partitionBy("file_id").option("compression", "none").text(root)
+    t.repartition("part").sortWithinPartitions("part", "file_id", "line_no", "raw_id").select("part", "body").write.partitionBy("part").option("compression", "none").text(root)
     lines = numbered_lines(spark, text_files(spark, root, ".txt"))
-    return lines.select(F.regexp_extract("file_path", r"file_id=(\d+)", 1).cast("long").alias("file_id"), "line", "body")
+    return lines.select(F.regexp_extract("file_path", r"part=(\d+)", 1).cast("long").alias("part"), "line", "body")
 
 
 def range_shortcut(spark, d):
@@ -582,8 +583,8 @@ UNION ALL SELECT 0, 'Session,Cost,Duration,API Time,Lines,Segments,5h%,1w%'""",
 SELECT CASE WHEN grouping({model}) = 1 THEN 'TOTAL' ELSE {model} END AS label, {month} AS child, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
 FROM priced GROUP BY CUBE ({model}, {month})""",
         "line_numbers": r"""
-WITH l AS (SELECT file_id, line_no, raw_id, regexp_replace(regexp_replace(body, '[\r\n]+', ' ', 'g'), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g') AS body FROM raw_lines WHERE file_id IS NOT NULL AND body IS NOT NULL)
-SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY line_no NULLS FIRST, raw_id) AS INT) AS line, body FROM l WHERE body <> ''""",
+WITH l AS (SELECT file_id // 50 AS part, file_id, line_no, raw_id, regexp_replace(regexp_replace(body, '[\r\n]+', ' ', 'g'), '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g') AS body FROM raw_lines WHERE file_id IS NOT NULL AND body IS NOT NULL)
+SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY file_id, line_no NULLS FIRST, raw_id) AS INT) AS line, body FROM l WHERE body <> ''""",
         "range_shortcut": f"""SELECT record_id FROM token_records WHERE (model IS NULL OR model <> '<synthetic>')
 AND strftime(record_timestamp AT TIME ZONE '{TZ}', '%Y-%m-%dT%H:%M:%S') BETWEEN '2025-10-05T07:00:00' AND '2025-10-05T12:00:00'""",
         "catalog_overlay": "SELECT model, "
